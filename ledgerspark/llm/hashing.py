@@ -30,13 +30,13 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def words_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+def words_of(texts: list[str | None], ends: bool = False) -> tuple[np.ndarray, ...]:
     """Hashes of all words of the texts (A-Z lower-cased, cut at the six ASCII white spaces), and where each text's begin
-    and end in them. A word's hash depends on its bytes alone."""
+    and end in them. A word's hash depends on its bytes alone. ends: also a number made of each word's last three bytes."""
     raws = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     data = np.frombuffer(b"\n".join([*raws, b""]).translate(_LOWER), dtype=np.uint8)
     if not len(data):
-        return np.zeros(0, dtype=np.uint64), np.zeros(len(texts) + 1, dtype=np.int64)
+        return (np.zeros(0, dtype=np.uint64), np.zeros(len(texts) + 1, dtype=np.int64)) + (np.zeros(0, dtype=np.int64),) * ends
     up, down = powers(len(data) + 1)
     total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_BYTE[data] * up[: len(data)], dtype=np.uint64)])
     space = _SPACE[data]
@@ -44,8 +44,13 @@ def words_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     edge = np.flatnonzero(inside[1:] != inside[:-1])
     start, end = edge[::2], edge[1::2]
     hashes = mix64((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
-    at = np.concatenate([[0], np.cumsum([len(r) + 1 for r in raws])])
-    return hashes, np.searchsorted(start, at)
+    at = np.searchsorted(start, np.concatenate([[0], np.cumsum([len(r) + 1 for r in raws])]))
+    if not ends:
+        return hashes, at
+    last = np.zeros(len(start), dtype=np.int64)
+    for k in (1, 2, 3):
+        last = last * 256 + np.where(end - k >= start, data[np.maximum(end - k, 0)], 0)
+    return hashes, at, last
 
 
 def shingles(hashes: np.ndarray, n: int) -> np.ndarray:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard_join, licenses, mixing, quality, token_counts, token_files
+from . import chat, decontaminate, hmm, jaccard_join, licenses, mixing, quality, token_counts, token_files
 from .common import new_path, table
 from .sql import ORACLE
 
@@ -25,6 +25,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
+def op3_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = new_path(spark, "op4-tokens")
     token_files.write_tokens(table(spark, sf_dir, "documents"), out, vocabulary(ID_VOCABULARY))
@@ -62,6 +66,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
+    "op3_hmm_score": op3_hmm_score,
     "op4_token_files": op4_token_files,
     "op5_token_counts": op5_token_counts,
     "op6_license_scan": op6_license_scan,
