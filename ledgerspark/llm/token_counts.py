@@ -13,6 +13,7 @@ an empty table. Of the input's columns only doc_id and text are read.
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -39,6 +40,7 @@ class Transducer:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(path)
         self.emits: dict[bytes, int] = {b"": 0}
 

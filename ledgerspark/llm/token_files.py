@@ -13,6 +13,7 @@ doc_id and text are read.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import doc_text, map_arrow
 
-END, PATHS, SCHEMA = 2, 600_000, "doc_id long, place long, n_tokens long, ids array<int>"
+END, PATHS, SCHEMA = 2, 1_500_000, "doc_id long, place long, n_tokens long, ids array<int>"
 #: Bytes of text that a file should have at most, on the average.
 FILE_BYTES = 64 << 20
 ORC = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "2000", "orc.stripe.size": str(16 << 20), "orc.dictionary.key.threshold": "0"}
@@ -33,31 +34,41 @@ _ODD = re.compile(r"[^\S \n]|  | \n|\n[ \n]|\A | \Z|<\|")
 
 class Encoder:
     """Ids of texts. Words after a space, words at the start of a line and line ends are independent for this kind of
-    tokenizer, so that each distinct one is encoded once; the ids are those of the whole text."""
+    tokenizer, and so are the pieces that it cuts words into before it merges: each distinct piece is encoded once, and
+    each distinct word put together once. The ids are those of the whole text."""
 
     def __init__(self, path: str):
+        import public_tokenizers
+        import regex
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(path)
+        self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.line_end = self.bytes_of(["\n"])[0]
         self.forget()
 
     def forget(self) -> None:
         self.first: dict[str, bytes] = {"": b""}
         self.later: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def bytes_of(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, known: dict[str, bytes], before: str, words: set[str]) -> None:
         new = [w for w in words if w not in known]
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
-            known.update(zip(some, self.bytes_of([before + w for w in some]), strict=True))
+        cut = [self.pattern.findall(before + w) for w in new]
+        pieces = list({p for c in cut for p in c if p not in self.pieces})
+        for at in range(0, len(pieces), 10_000):
+            some = pieces[at : at + 10_000]
+            self.pieces.update(zip(some, self.bytes_of(some), strict=True))
+        get = self.pieces.__getitem__
+        known.update((w, get(c[0]) if len(c) == 1 else b"".join(map(get, c))) for w, c in zip(new, cut, strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
-        if len(self.first) + len(self.later) > PATHS:
+        if len(self.first) + len(self.later) + len(self.pieces) > PATHS:
             self.forget()
         odd = [t is not None and _ODD.search(t) is not None for t in texts]
         lines = [[] if o else [x.split(" ") for x in (t or "").split("\n")] for t, o in zip(texts, odd, strict=True)]
