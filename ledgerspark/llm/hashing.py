@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import numpy as np
 
 _RANDOM = np.random.default_rng(20_240_229)
@@ -11,6 +14,9 @@ _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+_CUT = re.compile(rb"[\t-\r ]")
+#: Bytes that are hashed at once, which bounds the memory that the arrays take.
+PIECE = 2 << 20
 _powers: list[np.ndarray] = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
 
 
@@ -30,27 +36,52 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+def _parts(texts: list[str | None]) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Texts' bytes in batches of about PIECE; longer texts are cut at white space."""
+    owners: list[int] = []
+    some: list[bytes] = []
+    size = 0
+    for k, t in enumerate(texts):
+        raw = (t or "").encode("utf-8", "surrogatepass").translate(_LOWER)
+        at = 0
+        while at < len(raw):
+            stop = len(raw)
+            if stop - at > PIECE:
+                cut = _CUT.search(raw, at + PIECE)
+                stop = cut.start() if cut else stop
+            owners.append(k)
+            some.append(raw[at:stop])
+            size += stop - at
+            at = stop
+            if size >= PIECE:
+                yield owners, some
+                owners, some, size = [], [], 0
+    if some:
+        yield owners, some
+
+
 def words_of(texts: list[str | None], ends: bool = False) -> tuple[np.ndarray, ...]:
     """Hashes of all words of the texts (A-Z lower-cased, cut at the six ASCII white spaces), and where each text's begin
     and end in them. A word's hash depends on its bytes alone. ends: also a number made of each word's last three bytes."""
-    raws = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    data = np.frombuffer(b"\n".join([*raws, b""]).translate(_LOWER), dtype=np.uint8)
-    if not len(data):
-        return (np.zeros(0, dtype=np.uint64), np.zeros(len(texts) + 1, dtype=np.int64)) + (np.zeros(0, dtype=np.int64),) * ends
-    up, down = powers(len(data) + 1)
-    total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_BYTE[data] * up[: len(data)], dtype=np.uint64)])
-    space = _SPACE[data]
-    inside = np.concatenate([[False], ~space, [False]])
-    edge = np.flatnonzero(inside[1:] != inside[:-1])
-    start, end = edge[::2], edge[1::2]
-    hashes = mix64((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
-    at = np.searchsorted(start, np.concatenate([[0], np.cumsum([len(r) + 1 for r in raws])]))
-    if not ends:
-        return hashes, at
-    last = np.zeros(len(start), dtype=np.int64)
-    for k in (1, 2, 3):
-        last = last * 256 + np.where(end - k >= start, data[np.maximum(end - k, 0)], 0)
-    return hashes, at, last
+    found, lasts = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
+    count = np.zeros(len(texts), dtype=np.int64)
+    for owners, raws in _parts(texts):
+        data = np.frombuffer(b"\n".join([*raws, b""]), dtype=np.uint8)
+        up, down = powers(len(data) + 1)
+        total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_BYTE[data] * up[: len(data)], dtype=np.uint64)])
+        inside = np.concatenate([[False], ~_SPACE[data], [False]])
+        edge = np.flatnonzero(inside[1:] != inside[:-1])
+        start, end = edge[::2], edge[1::2]
+        found.append(mix64((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)))
+        at = np.searchsorted(start, np.concatenate([[0], np.cumsum([len(r) + 1 for r in raws])]))
+        np.add.at(count, owners, np.diff(at))
+        if ends:
+            last = np.zeros(len(start), dtype=np.int64)
+            for k in (1, 2, 3):
+                last = last * 256 + np.where(end - k >= start, data[np.maximum(end - k, 0)], 0)
+            lasts.append(last)
+    out = np.concatenate(found), np.concatenate([[0], np.cumsum(count)])
+    return (*out, np.concatenate(lasts)) if ends else out
 
 
 def shingles(hashes: np.ndarray, n: int) -> np.ndarray:
