@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import discard, doc_text, stored
 from .hashing import mix64, words_of
 
-STATES, TOP, SUFFIXES, ROUNDS, BLOCK_BYTES, BATCH = 8, 8192, 4096, 4, 32 << 20, 1 << 20
+STATES, TOP, SUFFIXES, ROUNDS, BLOCK_BYTES, BATCH = 8, 8192, 4096, 4, 24 << 20, 1 << 19
 UNSEEN, CLASSES = TOP + SUFFIXES, TOP + SUFFIXES + 1
 #: The end token's name among the words' hashes; the strength of the emissions' prior (in tokens a state), and the share
 #: of the base in them however many tokens a state has.
