@@ -49,7 +49,7 @@ def template_table(spark: SparkSession) -> tuple[DataFrame, float]:
 
 
 def sentences(text: str = "text") -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), SENTENCE), F.trim), lambda s: F.lower(s).rlike(CUE))
+    return F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), SENTENCE), lambda x: F.trim(x)), lambda s: F.lower(s).rlike(CUE))
 
 
 def matches(units: DataFrame) -> DataFrame:
