@@ -16,6 +16,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -23,19 +24,26 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import doc_text, map_arrow
+from .hashing import _BYTE, mix64, powers
 
-END, PATHS, SCHEMA = 2, 1_500_000, "doc_id long, place long, n_tokens long, ids array<int>"
+END, PATHS, BATCH_CHARS, SCHEMA = 2, 1_500_000, 2 << 20, "doc_id long, place long, n_tokens long, ids array<int>"
 #: Bytes of text that a file should have at most, on the average.
 FILE_BYTES = 64 << 20
 ORC = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "2000", "orc.stripe.size": str(16 << 20), "orc.dictionary.key.threshold": "0"}
 #: Texts with other white space than single spaces and line ends between words, or with special strings, go to the tokenizer whole.
 _ODD = re.compile(r"[^\S \n]|  | \n|\n[ \n]|\A | \Z|<\|")
+#: Bytes of such white space, and the two bytes with which other such characters and special strings begin.
+_ALONE = np.zeros(256, dtype=bool)
+_ALONE[[9, 11, 12, 13, 28, 29, 30, 31]] = True
+_FOLLOW = {0x3C: (0x7C,), 0xC2: (0x85, 0xA0), 0xE1: (0x9A,), 0xE2: (0x80, 0x81), 0xE3: (0x80,)}
+_STOP = 255  # a byte that no UTF-8 text has; it stands at the end of each text
 
 
 class Encoder:
     """Ids of texts. Words after a space, words at the start of a line and line ends are independent for this kind of
-    tokenizer, and so are the pieces that it cuts words into before it merges: each distinct piece is encoded once, and
-    each distinct word put together once. The ids are those of the whole text."""
+    tokenizer, and so are the pieces that it cuts words into before it merges. So each distinct word of a batch is looked
+    up once (by a 64-bit hash of its bytes and of what stands before it), each distinct piece is encoded once, and the
+    ids are put in the words' places by numpy. They are those of the whole text."""
 
     def __init__(self, path: str):
         import public_tokenizers
@@ -49,38 +57,87 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.first: dict[str, bytes] = {"": b""}
-        self.later: dict[str, bytes] = {}
+        self.words: dict[int, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
     def bytes_of(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, known: dict[str, bytes], before: str, words: set[str]) -> None:
-        new = [w for w in words if w not in known]
-        cut = [self.pattern.findall(before + w) for w in new]
+    def _cut(self, word: str, before: str) -> list[str]:
+        core = word.rstrip(".,")
+        if core.isalpha():
+            return [before + core, word[len(core) :]] if len(core) < len(word) else [before + core]
+        return self.pattern.findall(before + word)
+
+    def _learn(self, keys: list[int], words: list[str], before: list[str]) -> None:
+        cut = list(map(self._cut, words, before))
         pieces = list({p for c in cut for p in c if p not in self.pieces})
         for at in range(0, len(pieces), 10_000):
             some = pieces[at : at + 10_000]
             self.pieces.update(zip(some, self.bytes_of(some), strict=True))
         get = self.pieces.__getitem__
-        known.update((w, get(c[0]) if len(c) == 1 else b"".join(map(get, c))) for w, c in zip(new, cut, strict=True))
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """For each text its ids as little-endian unsigned 32-bit integers."""
-        if len(self.first) + len(self.later) + len(self.pieces) > PATHS:
+        self.words.update((k, get(c[0]) if len(c) == 1 else b"".join(map(get, c))) for k, c in zip(keys, cut, strict=True))
+
+    def _suspects(self, data: np.ndarray) -> list[int]:
+        """Texts that have bytes of odd white space or special strings, or white space in other places than between words."""
+        space, line, stop = data == 32, data == 10, data == _STOP
+        ahead, behind = np.append(data[1:], _STOP), np.concatenate([[_STOP], data[:-1]])
+        bad = space & ((ahead == 32) | (ahead == 10) | (ahead == _STOP) | (behind == 10) | (behind == _STOP)) | line & (ahead == 10)
+        bad |= _ALONE[data]
+        for lead, follow in _FOLLOW.items():
+            first = data == lead
+            for f in follow:
+                bad |= first & (ahead == f)
+        return np.unique(np.searchsorted(np.flatnonzero(stop), np.flatnonzero(bad))).tolist()
+
+    def encode(self, texts: list[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each followed by `end` if there is one, and how many each text has."""
+        if len(self.words) + len(self.pieces) > PATHS:
             self.forget()
-        odd = [t is not None and _ODD.search(t) is not None for t in texts]
-        lines = [[] if o else [x.split(" ") for x in (t or "").split("\n")] for t, o in zip(texts, odd, strict=True)]
-        self._learn(self.first, "", {x[0] for t in lines for x in t})
-        later: set[str] = set()
-        for t in lines:
-            for x in t:
-                later.update(x[1:])
-        self._learn(self.later, " ", later)
-        whole = iter(self.bytes_of([t for t, o in zip(texts, odd, strict=True) if o]))
-        first, get = self.first, self.later.__getitem__
-        return [next(whole) if o else self.line_end.join(first[x[0]] + b"".join(map(get, x[1:])) for x in t) for t, o in zip(lines, odd, strict=True)]
+        raws = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+        data = np.frombuffer(b"\xff".join([*raws, b""]), dtype=np.uint8)
+        odd = [k for k in self._suspects(data) if _ODD.search(texts[k])]
+        if odd:
+            for k in odd:
+                raws[k] = b""
+            data = np.frombuffer(b"\xff".join([*raws, b""]), dtype=np.uint8)
+        mark = (data == 10) | (data == _STOP)
+        inside = np.concatenate([[False], ~(mark | (data == 32)), [False]])
+        edge = np.flatnonzero(inside[1:] != inside[:-1])
+        start, stop = edge[::2], edge[1::2]
+        later = data[np.maximum(start - 1, 0)] == 32
+        up, down = powers(len(data) + 1)
+        total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_BYTE[data] * up[: len(data)], dtype=np.uint64)])
+        hashes = mix64((total[stop] - total[start]) * down[start] + (2 * (stop - start) + later).astype(np.uint64))
+        key, first, number = np.unique(hashes, return_index=True, return_inverse=True)
+        names = key.tolist()
+        new = [k for k, n in enumerate(names) if n not in self.words]
+        if new:
+            raw = data.tobytes()
+            at = first[new]
+            spans = zip(start[at].tolist(), stop[at].tolist(), strict=True)
+            self._learn([names[k] for k in new], [raw[a:b].decode("utf-8", "surrogatepass") for a, b in spans], [" " if x else "" for x in later[at].tolist()])
+        # The units in their order: words, line ends and ends of texts, as numbers of entries of a table of ids.
+        table = [*map(self.words.__getitem__, names), self.line_end, b"" if end is None else array("I", [end]).tobytes()]
+        size = np.array([len(x) // 4 for x in table], dtype=np.int64)
+        flat = np.frombuffer(b"".join(table), dtype="<u4")
+        unit = np.zeros(len(data), dtype=np.int64)
+        unit[start] = number + 1
+        unit[mark] = np.where(data[mark] == 10, len(names) + 1, len(names) + 2)
+        place = np.flatnonzero(unit)
+        unit = unit[place] - 1
+        n = size[unit]
+        out = flat[np.repeat((np.cumsum(size) - size)[unit] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        closes = np.searchsorted(place, np.flatnonzero(data == _STOP))
+        per_text = np.diff(np.concatenate([[0], np.cumsum(n)[closes]])) if len(closes) else np.zeros(0, dtype=np.int64)
+        if odd:
+            parts = np.split(out, np.cumsum(per_text)[:-1])
+            for k, ids in zip(odd, self.bytes_of([texts[k] for k in odd]), strict=True):
+                parts[k] = np.concatenate([np.frombuffer(ids, dtype="<u4"), parts[k]])
+                per_text[k] = len(parts[k])
+            out = np.concatenate(parts)
+        return out, per_text
 
 
 _encoders: dict[str, Encoder] = {}
@@ -94,19 +151,19 @@ def encoder(path: str) -> Encoder:
 
 def with_ids(docs: DataFrame, path: str, end: int | None = END) -> DataFrame:
     """doc_id, place (in the partition, from 0), n_tokens and ids of every row, in the rows' order. path: the vocabulary file, on every machine."""
-    last = b"" if end is None else np.array([end], dtype="<u4").tobytes()
 
     def encode(c: dict) -> dict:
-        texts, out, size, some = c["text"].to_pylist(), [], 0, []
+        texts, out, counts, size, some = c["text"].to_pylist(), [np.zeros(0, "<u4")], [np.zeros(0, np.int64)], 0, []
         for k, t in enumerate(texts):
             some.append(t)
             size += len(t or "")
-            if size >= 2 << 20 or k == len(texts) - 1:
-                out += encoder(path).encode(some)
+            if size >= BATCH_CHARS or k == len(texts) - 1:
+                ids, n = encoder(path).encode(some, end)
+                out.append(ids)
+                counts.append(n)
                 some, size = [], 0
-        out = [x + last for x in out]
-        n = np.array([len(x) // 4 for x in out], dtype=np.int64)
-        ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.frombuffer(b"".join(out), dtype="<u4").astype(np.int32)))
+        n = np.concatenate(counts)
+        ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.concatenate(out).astype(np.int32)))
         return {"doc_id": c["doc_id"], "place": np.arange(len(n)) + c["_at"], "n_tokens": n, "ids": ids}
 
     return map_arrow(doc_text(docs), encode, SCHEMA)
