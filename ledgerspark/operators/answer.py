@@ -84,7 +84,7 @@ def check_program(sql: str, views: set[str], most_chars: int = 4000, most_words:
         return f"function {bad}"
     if bad := next((w for w in re.findall(r"(?i)\b(?:from|join)\s+([^\s(),]+)", body) if w not in views), None):
         return f"relation {bad}"
-    if re.search(r"(?i)\bfrom\b[^()]*,", re.sub(r"(?i)\b(where|group|order|join)\b.*", "", body.split("from", 1)[-1] if "from" in body else "")) and not all(x.strip().split()[0] in views for x in re.sub(r"(?is)\b(where|group|order|join)\b.*", "", body.split("from", 1)[1]).split(",")):
+    if re.search(r"(?i)\bfrom\s+\w+(?:\s+(?:as\s+)?(?!where\b|group\b|order\b|join\b|left\b|inner\b|cross\b|on\b)\w+)?\s*,", body):
         return "relation list"
     return None
 

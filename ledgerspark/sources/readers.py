@@ -31,7 +31,7 @@ def questions(spark: SparkSession, path: str) -> DataFrame:
 def reports(spark: SparkSession, folder: str) -> DataFrame:
     """report_id, ticker, year, report_type and text of folder/ticker/year/report_id/*_extracted.txt. Folders whose year
     is no number are skipped, malformed UTF-8 is replaced."""
-    files = spark.read.option("wholetext", True).text(f"{folder}/*/*/*/*_extracted.txt").withColumn("path", F.col("_metadata.file_path"))
+    files = spark.read.text(f"{folder}/*/*/*/*_extracted.txt", wholetext=True).withColumn("path", F.col("_metadata.file_path"))
     part = F.split("path", "/")
     found = files.select(F.element_at(part, -2).alias("report_id"), F.element_at(part, -4).alias("ticker"), F.element_at(part, -3).alias("y"), F.col("value").alias("text"))
     return found.filter(F.col("y").rlike("^[0-9]+$")).select("report_id", "ticker", F.col("y").cast("int").alias("year"), report_type("report_id").alias("report_type"), "text")
