@@ -64,11 +64,11 @@ def flags_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", has("O").alias("has_open"), has("F").alias("has_final"))
 
 
-@query("SELECT o_orderkey AS key, o_orderdate AS at FROM orders WHERE o_custkey = 7 AND o_orderstatus IN ('O', 'F') AND o_totalprice > 1000")
+@query("SELECT o_orderkey AS key, o_totalprice AS total FROM orders WHERE o_custkey = 7 AND o_orderstatus IN ('O', 'F') AND o_totalprice > 1000")
 def facts_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conditions that reach the scan."""
     rows = table(spark, sf_dir, "orders").filter((F.col("o_custkey") == 7) & F.col("o_orderstatus").isin("O", "F") & (F.col("o_totalprice") > 1000))
-    return rows.select(F.col("o_orderkey").alias("key"), F.col("o_orderdate").alias("at"))
+    return rows.select(F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("total"))
 
 
 _NAMES = "regexp_replace(lower(n_name), '[^a-z0-9]+', ' ', 'g')"
