@@ -309,7 +309,8 @@ def _by_window(contents: DataFrame) -> DataFrame:
 def spans(docs: DataFrame) -> DataFrame:
     """Byte spans to remove: pos, first, last (they may overlap). docs: as numbered() gives them."""
     found = stored(docs.select("pos", "text").mapInArrow(_all_segments, "key long, content long, pos long, start long, windows int"), "suffix-segments", "zstd")
-    again = found.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("key").alias("k"))
+    # Written first, so that the join reads both sides straight from their shuffles, where hot keys can be split.
+    again = stored(found.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("key").alias("k")), "suffix-anchors", "zstd")
     kept = stored(found.join(again, F.col("key") == F.col("k"), "left_semi"), "suffix-repeated", "zstd")
     discard(found)
     first = F.min(F.struct("pos", "start")).alias("f")
