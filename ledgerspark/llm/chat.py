@@ -73,7 +73,7 @@ def best_paths(nodes: DataFrame, per_tree: int = 1) -> DataFrame:
     marked = leaves.select("tree", "node", rank.alias("path")).filter(F.col("path") <= per_tree).select("node", "path")
     for jumps in reversed(rounds[:-1] or rounds):
         up = marked.join(jumps.filter("up is not null").select("node", "up"), "node").select(F.col("up").alias("node"), "path")
-        marked = marked.unionByName(up).distinct()
+        marked = stored(marked.unionByName(up).distinct(), "chat-marked")  # read twice by the next round
     return marked.join(rooted.select("node", F.col("steps").alias("at")), "node").join(nodes, "node").select("tree", "path", "at", "role", "text")
 
 
