@@ -1,7 +1,8 @@
 """Chat formatting of reply trees.
 
 Paths from root to leaf are enumerated by iterative self-joins: after round k every node knows its ancestor 2^k replies
-up, and the length and score of the way there, so a tree of depth d takes log2(d) rounds and rows of fixed size. Leaves
+up, and the length and score of the way there, so a tree of depth d takes log2(d) rounds and rows of fixed size; nodes
+that have reached their root take no further part. Leaves
 are ranked within their tree by the mean score of their path; the chosen leaves' paths are unrolled over the same
 pointers from the longest jump to the shortest, so no path is held twice. Each chosen path becomes one conversation.
 
@@ -60,14 +61,16 @@ def best_paths(nodes: DataFrame, per_tree: int = 1) -> DataFrame:
     known = nodes.select(F.col("node").alias("up"))
     state = nodes.select("node", "parent", "score").join(known, F.col("parent") == F.col("up"), "left").select("node", "up", F.lit(1).alias("steps"), F.col("score").alias("total"))
     rounds = [stored(state, "chat-jump")]
+    settled = rounds[0].filter("up is null")
     for _ in range(math.ceil(math.log2(nodes.count() + 2))):
-        last = rounds[-1]
-        if last.filter("up is not null").isEmpty():
+        active = rounds[-1].filter("up is not null")  # nodes that have reached their root are done, and not joined again
+        if active.isEmpty():
             break
-        further = last.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("steps").alias("more"), F.col("total").alias("plus"))
-        step = last.join(further, "up", "left").select("node", F.col("next").alias("up"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), (F.col("total") + F.coalesce("plus", F.lit(0.0))).alias("total"))
+        further = active.unionByName(settled).select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("steps").alias("more"), F.col("total").alias("plus"))
+        step = active.join(further, "up").select("node", F.col("next").alias("up"), (F.col("steps") + F.col("more")).alias("steps"), (F.col("total") + F.col("plus")).alias("total"))
         rounds.append(stored(step, "chat-jump"))
-    rooted = rounds[-1].filter("up is null").select("node", "steps", "total")
+        settled = settled.unionByName(rounds[-1].filter("up is null"))
+    rooted = settled.select("node", "steps", "total")
     leaves = rooted.join(nodes.select(F.col("parent").alias("node")), "node", "left_anti").join(nodes.select("tree", "node"), "node")
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc(F.col("total") / F.col("steps")), F.desc("steps"), "node"))
     marked = leaves.select("tree", "node", rank.alias("path")).filter(F.col("path") <= per_tree).select("node", "path")
