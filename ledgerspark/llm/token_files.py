@@ -17,16 +17,18 @@ import os
 import re
 import zlib
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import doc_text, map_arrow
 from .hashing import _BYTE, mix64, powers
 
-END, PATHS, BATCH_CHARS, SCHEMA = 2, 1_500_000, 2 << 20, "doc_id long, place long, n_tokens long, ids array<int>"
+END, PATHS, PIECES, BATCH_CHARS, SCHEMA = 2, 3_000_000, 500_000, 2 << 20, "doc_id long, place long, n_tokens long, ids array<int>"
 #: Bytes of text that a file should have at most, on the average.
 FILE_BYTES = 64 << 20
 ORC = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "2000", "orc.stripe.size": str(16 << 20), "orc.dictionary.key.threshold": "0"}
@@ -57,7 +59,10 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.words: dict[int, bytes] = {}
+        """Known words as sorted hashes, with each one's place and number of ids in a pool: some 30 bytes a word."""
+        self.keys = np.zeros(0, dtype=np.uint64)
+        self.at, self.size = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.pool = np.zeros(0, dtype="<u4")
         self.pieces: dict[str, bytes] = {}
 
     def bytes_of(self, texts: list[str]) -> list[bytes]:
@@ -70,14 +75,24 @@ class Encoder:
             return [before + core, word[len(core) :]] if len(core) < len(word) else [before + core]
         return self.pattern.findall(before + word)
 
-    def _learn(self, keys: list[int], words: list[str], before: list[str]) -> None:
+    def _learn(self, keys: np.ndarray, words: list[str], before: list[str]) -> None:
+        """Adds words, in the order of their hashes, that are not known yet."""
+        if len(self.pieces) > PIECES:
+            self.pieces = {}
         cut = list(map(self._cut, words, before))
         pieces = list({p for c in cut for p in c if p not in self.pieces})
         for at in range(0, len(pieces), 10_000):
             some = pieces[at : at + 10_000]
             self.pieces.update(zip(some, self.bytes_of(some), strict=True))
         get = self.pieces.__getitem__
-        self.words.update((k, get(c[0]) if len(c) == 1 else b"".join(map(get, c))) for k, c in zip(keys, cut, strict=True))
+        ids = [get(c[0]) if len(c) == 1 else b"".join(map(get, c)) for c in cut]
+        size = np.array([len(x) // 4 for x in ids], dtype=np.int64)
+        all_keys = np.concatenate([self.keys, keys])
+        order = np.argsort(all_keys, kind="stable")
+        self.keys = all_keys[order]
+        self.at = np.concatenate([self.at, len(self.pool) + np.cumsum(size) - size])[order]
+        self.size = np.concatenate([self.size, size])[order]
+        self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(ids), dtype="<u4")])
 
     def _suspects(self, data: np.ndarray) -> list[int]:
         """Texts that have bytes of odd white space or special strings, or white space in other places than between words."""
@@ -93,7 +108,7 @@ class Encoder:
 
     def encode(self, texts: list[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by `end` if there is one, and how many each text has."""
-        if len(self.words) + len(self.pieces) > PATHS:
+        if len(self.keys) > PATHS:
             self.forget()
         raws = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
         data = np.frombuffer(b"\xff".join([*raws, b""]), dtype=np.uint8)
@@ -111,24 +126,27 @@ class Encoder:
         total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_BYTE[data] * up[: len(data)], dtype=np.uint64)])
         hashes = mix64((total[stop] - total[start]) * down[start] + (2 * (stop - start) + later).astype(np.uint64))
         key, first, number = np.unique(hashes, return_index=True, return_inverse=True)
-        names = key.tolist()
-        new = [k for k, n in enumerate(names) if n not in self.words]
-        if new:
-            raw = data.tobytes()
-            at = first[new]
-            spans = zip(start[at].tolist(), stop[at].tolist(), strict=True)
-            self._learn([names[k] for k in new], [raw[a:b].decode("utf-8", "surrogatepass") for a, b in spans], [" " if x else "" for x in later[at].tolist()])
+        if len(self.keys):
+            new = np.flatnonzero(self.keys[np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)] != key)
+        else:
+            new = np.arange(len(key))
+        if len(new):
+            raw, where = data.tobytes(), first[new]
+            spans = zip(start[where].tolist(), stop[where].tolist(), strict=True)
+            self._learn(key[new], [raw[a:b].decode("utf-8", "surrogatepass") for a, b in spans], [" " if x else "" for x in later[where].tolist()])
         # The units in their order: words, line ends and ends of texts, as numbers of entries of a table of ids.
-        table = [*map(self.words.__getitem__, names), self.line_end, b"" if end is None else array("I", [end]).tobytes()]
-        size = np.array([len(x) // 4 for x in table], dtype=np.int64)
-        flat = np.frombuffer(b"".join(table), dtype="<u4")
+        found = np.searchsorted(self.keys, key)
+        more = [np.frombuffer(self.line_end, dtype="<u4"), np.array([] if end is None else [end], dtype="<u4")]
+        flat = np.concatenate([self.pool, *more])
+        places = np.concatenate([self.at[found], [len(self.pool), len(self.pool) + len(more[0])]])
+        size = np.concatenate([self.size[found], [len(more[0]), len(more[1])]])
         unit = np.zeros(len(data), dtype=np.int64)
         unit[start] = number + 1
-        unit[mark] = np.where(data[mark] == 10, len(names) + 1, len(names) + 2)
+        unit[mark] = np.where(data[mark] == 10, len(key) + 1, len(key) + 2)
         place = np.flatnonzero(unit)
         unit = unit[place] - 1
         n = size[unit]
-        out = flat[np.repeat((np.cumsum(size) - size)[unit] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        out = flat[np.repeat(places[unit] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
         closes = np.searchsorted(place, np.flatnonzero(data == _STOP))
         per_text = np.diff(np.concatenate([[0], np.cumsum(n)[closes]])) if len(closes) else np.zeros(0, dtype=np.int64)
         if odd:
@@ -152,21 +170,22 @@ def encoder(path: str) -> Encoder:
 def with_ids(docs: DataFrame, path: str, end: int | None = END) -> DataFrame:
     """doc_id, place (in the partition, from 0), n_tokens and ids of every row, in the rows' order. path: the vocabulary file, on every machine."""
 
-    def encode(c: dict) -> dict:
-        texts, out, counts, size, some = c["text"].to_pylist(), [np.zeros(0, "<u4")], [np.zeros(0, np.int64)], 0, []
-        for k, t in enumerate(texts):
-            some.append(t)
-            size += len(t or "")
-            if size >= BATCH_CHARS or k == len(texts) - 1:
-                ids, n = encoder(path).encode(some, end)
-                out.append(ids)
-                counts.append(n)
-                some, size = [], 0
-        n = np.concatenate(counts)
-        ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.concatenate(out).astype(np.int32)))
-        return {"doc_id": c["doc_id"], "place": np.arange(len(n)) + c["_at"], "n_tokens": n, "ids": ids}
-
-    return map_arrow(doc_text(docs), encode, SCHEMA)
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = 0
+        for batch in batches:
+            size = first = 0
+            lengths = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()
+            for k in range(batch.num_rows):  # some MB of text at a time, so that neither side holds more ids than theirs
+                size += lengths[k]
+                if size < BATCH_CHARS and k < batch.num_rows - 1:
+                    continue
+                part = batch.slice(first, k + 1 - first)
+                flat, n = encoder(path).encode(part.column("text").to_pylist(), end)
+                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(flat.view(np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.arange(len(n)) + place), pa.array(n), ids], names=["doc_id", "place", "n_tokens", "ids"])
+                place, first, size = place + len(n), k + 1, 0
+
+    return doc_text(docs).mapInArrow(encode, SCHEMA)
 
 
 def write_tokens(docs: DataFrame, out: str, path: str, end: int | None = END, file_bytes: int = FILE_BYTES) -> None:
