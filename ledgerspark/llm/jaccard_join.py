@@ -22,7 +22,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import doc_text, map_arrow, stored
@@ -80,20 +80,38 @@ def sketches(docs: DataFrame, n: int = N, depth: int | None = None) -> DataFrame
     return map_arrow(doc_text(docs), sketch, "doc_id long, node long, keys array<long>")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """node, part: the smallest node of each node's connected component. edges: a, b. Every round takes the least label
-    of the neighbours and then that label's own, so stars and short chains settle in a few rounds."""
-    both = stored(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct(), "jaccard-edges")
-    labels = stored(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("part")).select(F.col("a").alias("node"), "part"), "jaccard-labels")
-    for _ in range(rounds):
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("part").alias("p"))
-        step = labels.join(near, labels.node == near.a).select("node", F.least("part", "p").alias("part"), F.col("part").alias("was"))
-        jump = step.select(F.col("node").alias("m"), F.col("part").alias("further"))
-        step = stored(step.join(jump, step.part == jump.m, "left").select("node", F.least("part", F.coalesce("further", "part")).alias("part"), "was"), "jaccard-labels")
-        labels = step.select("node", "part")
-        if step.filter("part <> was").isEmpty():
-            break
-    return labels
+def _nearest(edges: DataFrame) -> DataFrame:
+    """Edges a, b of the same components, of which each node but the smallest ones has one to its least neighbour of those
+    below it: those neighbours are linked to each other, so a node with edges to many hubs keeps one."""
+    down = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    down = down.withColumn("r", F.min("b").over(Window.partitionBy("a")))
+    return down.select(F.explode(F.array(F.struct("a", F.col("r").alias("b")), F.struct(F.col("b").alias("a"), F.col("r").alias("b")))).alias("e")).select("e.a", "e.b").filter("a <> b").distinct()
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node, part: the smallest node of each node's connected component. edges: a, b.
+
+    Contraction: every round each node moves to the least of itself and its neighbours, and the edges between what is left
+    are those of the next round, until there are none. The order is that of the nodes in one round, in which stars fall
+    together at once, and a hash of node and round in the next, which leaves at most three quarters of any graph's nodes on
+    average; so rounds grow with the logarithm of the nodes, whatever the length of chains. The greatest node of a component
+    is always left behind, so the loop ends by itself. The moves are then followed from the last round back to the first."""
+    edges, moves = stored(_nearest(edges), "jaccard-edges"), []
+    while not edges.isEmpty():
+        rank = F.xxhash64("b", F.lit(len(moves))) if len(moves) % 2 else F.col("b")
+        both = edges.union(edges.select("b", "a")).union(edges.select("a", F.col("a").alias("b"))).union(edges.select("b", F.col("b").alias("a")))
+        moves.append(stored(both.groupBy(F.col("a").alias("node")).agg(F.min(F.struct(rank.alias("rank"), "b"))["b"].alias("part")), "jaccard-moves"))
+        to = lambda c: moves[-1].select(F.col("node").alias(c), F.col("part").alias(f"{c}_to"))
+        moved = edges.join(to("a"), "a").join(to("b"), "b").filter("a_to <> b_to")
+        edges = stored(moved.select(F.greatest("a_to", "b_to").alias("a"), F.least("a_to", "b_to").alias("b")).distinct(), "jaccard-edges")
+    if not moves:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("part"))
+    labels = moves[-1]
+    for move in reversed(moves[:-1]):
+        further = labels.select(F.col("node").alias("part"), F.col("part").alias("further"))
+        labels = stored(move.join(further, "part", "left").select("node", F.coalesce("further", "part").alias("part")), "jaccard-labels")
+    least = labels.groupBy("part").agg(F.min("node").alias("least"))
+    return labels.join(least, "part").select("node", F.col("least").alias("part"))
 
 
 def linked(sets: list[np.ndarray], threshold: float) -> np.ndarray:

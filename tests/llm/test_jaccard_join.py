@@ -79,3 +79,23 @@ def test_links_by_matrix():
         for j in range(40):
             a, b = set(sets[i].tolist()), set(sets[j].tolist())
             assert got[i, j] == (i != j and len(a & b) >= 0.5 * len(a | b))
+
+
+def test_components_of_long_chains(spark):
+    """Chains of shuffled and of ascending names, a star and a loose pair: rounds must not run out."""
+    r = random.Random(3)
+    names = [r.randrange(-(2**62), 2**62) for _ in range(2000)]
+    chain, star, ordered = names[:1500], names[1500:1900], list(range(600))
+    edges = [*zip(chain, chain[1:]), *((star[0], x) for x in star[1:]), *zip(ordered, ordered[1:]), (names[1990], names[1991]), (names[1999], names[1999])]
+    want = {x: min(c) for c in (chain, star, ordered, names[1990:1992]) for x in c}
+    got = jaccard_join.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert len(got) == len(want) and {x.node: x.part for x in got} == want
+    assert jaccard_join.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_chain_of_drifting_versions(spark):
+    """600 versions, each similar to its neighbours alone, are one class."""
+    words = [f"w{k}" for k in range(600 * 6 + 100)]
+    rows = [(k + 1, " ".join(words[k * 6 : k * 6 + 100])) for k in range(600)]
+    got = jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.class_id for r in got} == {1} and all(r.n_links == (1 if r.doc_id in (1, 600) else 2) for r in got)
