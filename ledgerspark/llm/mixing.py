@@ -14,26 +14,35 @@ Repeated rows draw the same count each. An empty table gives an empty table. All
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fits, stored
 
 MAX_SOURCES, SALTS, SEED, TEMPERATURE = 10_000, 64, 17, 0.5
-#: The tail of the distribution that is cut: beyond mean + 12 * sqrt(mean) + 12 lies less than 1e-15 of it.
-_TERMS = "cast(ceil({m} + 12 * sqrt({m}) + 12) as int)"
-
-
 def uniform(seed: int) -> F.Column:
     """A number in [0, 1) from 52 bits of the MD5 of seed and doc_id."""
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
+def poisson_cdf(rate: float) -> np.ndarray:
+    """The distribution function's values at 0, 1, ...; beyond rate + 12 * sqrt(rate) + 12, where it is cut, lies less than
+    1e-15. Terms are relative to that of the mode, by sums of logarithms, as exp(-rate) is 0 in doubles from a rate of 746."""
+    mode, last = math.floor(rate), math.ceil(rate + 12 * math.sqrt(rate) + 12)
+    with np.errstate(divide="ignore"):
+        above = np.cumsum(np.log(rate / np.arange(mode + 1, last + 1)))
+        below = np.cumsum(np.log(np.arange(mode, 0, -1) / rate)) if mode else np.zeros(0)
+    out = np.cumsum(np.exp(np.concatenate([below[::-1], [0.0], above])))
+    return out / out[-1]
+
+
 def poisson_table(rate: str) -> F.Column:
-    """The distribution function's values at 0, 1, ... for a mean, as an array."""
-    terms = _TERMS.format(m=rate)
-    return F.expr(f"""aggregate(sequence(1, {terms}), named_struct('p', exp(-{rate}), 'c', array(exp(-{rate}))),
-        (a, k) -> named_struct('p', a.p * {rate} / k, 'c', concat(a.c, array(element_at(a.c, -1) + a.p * {rate} / k))), a -> a.c)""")
+    """poisson_cdf() of a column of rates, as arrays; in Python, where running sums take linear time."""
+    table = F.pandas_udf(lambda rates: rates.map(lambda r: None if np.isnan(r) else poisson_cdf(r)), "array<double>")
+    return table(F.col(rate))
 
 
 def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, temperature: float = TEMPERATURE) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -169,6 +170,21 @@ def test_mixing(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixing_at_large_rates(spark):
+    docs = spark.createDataFrame([(i, "s" * 10, "small") for i in range(20)] + [(99, "b" * 2_000_000, "big"), (98, "m" * 30_000, "mid")], "doc_id long, text string, source string")
+    weights = {"small": 2.0, "mid": 10.0, "big": 1.0}
+    small = (0.0, np.zeros(0))
+    for r in mixing.rates(docs, weights).collect():
+        term = [math.exp(k * math.log(r.rate) - r.rate - math.lgamma(k + 1)) for k in range(len(r.cdf))]
+        assert len(r.cdf) == math.ceil(r.rate + 12 * math.sqrt(r.rate) + 12) + 1
+        assert np.allclose(r.cdf, np.cumsum(term), rtol=0, atol=1e-9)
+        small = (r.rate, np.array(r.cdf)) if r.source == "small" else small
+    assert small[0] > 1000
+    got = {r.doc_id: r["count"] for r in mixing.mix(docs, weights).filter("source = 'small'").groupBy("doc_id").count().collect()}
+    u = {i: int(hashlib.md5(f"{mixing.SEED}:{i}".encode()).hexdigest()[:13], 16) / 2**52 for i in range(20)}
+    assert got == {i: int((small[1] <= v).sum()) for i, v in u.items()} and len(set(got.values())) > 10
+
+
 def test_mixing_beyond_the_broadcast_bound(spark, monkeypatch):
     docs = spark.range(200).selectExpr("id as doc_id", "cast(id as string) as text", "cast(id % 5 as string) as source")
     few = sorted(map(tuple, mixing.mix(docs).collect()))
