@@ -11,8 +11,9 @@
    common prefixes of LENGTH bytes or more is a repeated window, of which all but the earliest are marked.
 4. Marks are gathered by document and cut from its bytes.
 
-An anchor with very many different contents (HOT) is dealt out again by its windows' own hashes, each a content of one
-window, so no partition grows with a common passage's surroundings.
+An anchor with very many different contents (HOT) is dealt out again by its windows. Equal windows are reduced to their
+first occurrence by an aggregation, with partial results in each task, and the others are marked by a join back, which
+Spark can split; so no partition grows with a common passage or its surroundings.
 
 Defined results: strings are judged on the input, in ascending order of doc_id (null first). Rows of one doc_id and
 different texts are documents in the order of a text hash; rows repeated whole are one document, and each gets its
@@ -290,7 +291,7 @@ def _with_bytes(docs: DataFrame, contents: DataFrame) -> DataFrame:
 
 
 def _by_window(contents: DataFrame) -> DataFrame:
-    """Each window a content of its own, dealt out by its own hash."""
+    """Each window a content of its own, with its own hash as key."""
 
     def split(c: dict) -> dict:
         out: dict[str, list] = {"key": [], "pos": [], "start": [], "bytes": []}
@@ -306,6 +307,16 @@ def _by_window(contents: DataFrame) -> DataFrame:
     return map_arrow(contents, split, "key long, pos long, start long, bytes binary")
 
 
+def _window_marks(windows: DataFrame) -> DataFrame:
+    """Spans of the windows (as _by_window() gives them) whose bytes start earlier too."""
+    windows = stored(windows, "suffix-windows", "zstd")
+    first = windows.groupBy("key", "bytes").agg(F.min(F.struct("pos", "start")).alias("f"), F.count("*").alias("n")).filter("n > 1")
+    # Written first, as the anchors are, so that hot windows can be split.
+    first = stored(first.select(F.col("key").alias("k"), F.col("bytes").alias("b"), F.col("f.pos").alias("p"), F.col("f.start").alias("s")), "suffix-windows", "zstd")
+    again = windows.join(first, (F.col("key") == F.col("k")) & (F.col("bytes") == F.col("b"))).filter("pos <> p or start <> s")
+    return again.select("pos", F.col("start").alias("first"), (F.col("start") + LENGTH).alias("last"))
+
+
 def spans(docs: DataFrame) -> DataFrame:
     """Byte spans to remove: pos, first, last (they may overlap). docs: as numbered() gives them."""
     found = stored(docs.select("pos", "text").mapInArrow(_all_segments, "key long, content long, pos long, start long, windows int"), "suffix-segments", "zstd")
@@ -324,7 +335,8 @@ def spans(docs: DataFrame) -> DataFrame:
     parts = stored(_with_bytes(docs, contents.select("key", "pos", "start", "windows")), "suffix-bytes", "zstd")
     plain = parts
     if not hot.isEmpty():
-        plain = parts.join(hot, F.col("key") == F.col("h"), "left_anti").unionByName(_by_window(parts.join(hot, F.col("key") == F.col("h"), "left_semi")))
+        plain = parts.join(hot, F.col("key") == F.col("h"), "left_anti")
+        later = later.unionByName(_window_marks(_by_window(parts.join(hot, F.col("key") == F.col("h"), "left_semi"))))
     sort = plain.repartition("key").sortWithinPartitions("key")
     return later.unionByName(sort.mapInArrow(_sorted_parts, "pos long, first long, last long"))
 

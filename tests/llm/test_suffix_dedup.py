@@ -59,6 +59,33 @@ def test_documents_of_the_test_data(spark):
     assert sorted(map(tuple, suffix_dedup.digests(docs).collect())) == brute([(r.doc_id, r.text) for r in docs.collect()])
 
 
+def test_sort_sees_no_window_of_a_hot_anchor_twice(spark, monkeypatch):
+    """A footer of 130 bytes between different neighbours: its windows must not meet in one task, a row for each document."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 20)
+    sort = suffix_dedup._sorted_parts
+
+    def checked(batches):
+        seen = set()
+
+        def each():
+            for batch in batches:
+                for row in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                    if row in seen:
+                        raise ValueError("a window came twice")
+                    seen.add(row)
+                yield batch
+
+        yield from sort(each())
+
+    monkeypatch.setattr(suffix_dedup, "_sorted_parts", checked)
+    r = random.Random(2)
+    noise = lambda: "".join(r.choice("abcdefgh ") for _ in range(150))
+    footer = noise()[:130]
+    rows = [(k, noise() + footer + noise()) for k in range(200)]
+    got = sorted(map(tuple, suffix_dedup.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == brute(rows) and sum(g[2] >= 130 for g in got) == 199
+
+
 def test_nulls_repeats_and_empty_tables(spark):
     t = corpus(9)[0]
     docs = spark.createDataFrame([(None, t), (3, t), (3, t), (3, "y" + t), (5, None), (5, t)], "doc_id long, text string")
