@@ -1,10 +1,10 @@
-"""N-gram Jaccard join by a MinHash LSH forest, with exact verification.
+"""N-gram Jaccard join by MinHash in fixed bands, with exact verification.
 
 1. Each text becomes its set of word 5-gram hashes; texts of one set are one node, with the number of rows that have it.
-2. Forest: TREES tries over labels of LABEL minima each. Matched prefixes are shortened from the whole label until a
-   pair at the threshold meets in some tree with the target recall (depth_for). A node's key in a tree is the hash of
-   its prefix of that length: nodes of one key are one run of the sorted trie.
-3. Nodes that meet form candidate groups (connected components of star edges, a row per node and tree at most).
+2. Bands: TREES bands of depth_for() minima each, the most (up to LABEL) with which a pair at the threshold meets in some
+   band with the target recall. This is not an LSH forest: no labels of LABEL minima are built or sorted, and the depth
+   does not adapt to the data. A node's key in a band is the hash of its minima there.
+3. Nodes that meet form candidate groups (connected components of star edges, a row per node and band at most).
 4. Verification: a group is cut into blocks of at most about BLOCK nodes, and each pair of blocks is one task's unit, in
    which shared n-grams are counted by matrix products over all pairs. No pair becomes a row: a unit returns a row per
    node, with the rows it is linked to and the smallest node of its connected part. Block sizes are bounded, so hot
@@ -34,7 +34,7 @@ _B = np.random.default_rng(8).integers(0, 2**64, TREES * LABEL, dtype=np.uint64)
 
 
 def depth_for(threshold: float = THRESHOLD, trees: int = TREES, label: int = LABEL, recall: float = RECALL) -> int:
-    """The longest prefix at which a pair of that similarity meets in at least one tree with the target recall."""
+    """The most minima a band at which a pair of that similarity meets in at least one band with the target recall."""
     depth = label
     while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
         depth -= 1
@@ -50,7 +50,7 @@ def minima(grams: np.ndarray, count: int) -> np.ndarray:
 
 
 def keys(grams: np.ndarray, depth: int) -> np.ndarray:
-    """A node's key in each tree."""
+    """A node's key in each band."""
     labels = minima(grams, TREES * depth).reshape(TREES, depth)
     out = np.arange(1, TREES + 1, dtype=np.uint64)
     for k in range(depth):
