@@ -69,12 +69,12 @@ def company_patterns(stocks: DataFrame) -> DataFrame:
     return names.unionByName(aliases.join(tickers.select("ticker"), "ticker", "left_semi").select("pattern", "ticker", "kind")).unionByName(tickers).distinct()
 
 
-def phrase_hits(texts: DataFrame, patterns: DataFrame, key: str, text: str, longest: int = 12) -> DataFrame:
+def phrase_hits(texts: DataFrame, patterns: DataFrame, key: str, text: str) -> DataFrame:
     """key, pattern, ticker, kind, at, n: where phrases of some words stand in compact texts (word numbers from 0).
 
     A phrase is found by joining word runs of the lengths that occur among the patterns with the patterns, so it is an
     equi-join, whatever the number of patterns, and no pattern is tried against all texts."""
-    lengths = [r[0] for r in patterns.select(F.size(F.split("pattern", " ")).alias("n")).distinct().filter(F.col("n") <= longest).orderBy("n").collect()]  # `longest` at most
+    lengths = [r[0] for r in patterns.select(F.size(F.split("pattern", " ")).alias("n")).distinct().filter("n > 0").orderBy("n").collect()]  # as many as the longest pattern has words, at most
     words = texts.select(key, F.split(compact(text), " ").alias("w"))
     runs = None
     for n in lengths:

@@ -94,3 +94,12 @@ def test_readers_and_streaming(spark, tmp_path):
     for _ in range(2):
         ingest.ingest(ingest.report_stream(spark, str(tmp_path / "reports")), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_company_names_of_more_than_twelve_words(spark):
+    from ledgerspark.operators import entities
+
+    name = "Nhà xuất bản sách giáo khoa và thiết bị trường học miền trung Tây Nguyên"
+    stocks = spark.createDataFrame([("XYZ", name)], "ticker string, company_name string")
+    questions = spark.createDataFrame([(1, f"Doanh thu của {name} năm 2023 là bao nhiêu?"), (2, "Doanh thu năm 2023?")], "id int, question string")
+    assert [(r.id, r.tickers) for r in entities.tickers(questions, stocks).collect()] == [(1, ["XYZ"])]
