@@ -1,4 +1,4 @@
-"""Vectorised hashes of words over batches of texts."""
+"""Hashes of words over batches of texts."""
 
 from __future__ import annotations
 
@@ -6,18 +6,13 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import xxhash
 
-_RANDOM = np.random.default_rng(20_240_229)
-_BYTE = _RANDOM.integers(0, 2**64, 256, dtype=np.uint64)
-_BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
-_INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _CUT = re.compile(rb"[\t-\r ]")
-#: Bytes that are hashed at once, which bounds the memory that the arrays take.
-PIECE = 2 << 20
-_powers: list[np.ndarray] = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
+#: Bytes whose words are held at once; distinct words that a worker remembers.
+PIECE, WORDS = 1 << 20, 300_000
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -27,17 +22,19 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, _INVERSE)):
-            p = np.full(max(n, 1 << 16), base, dtype=np.uint64)
-            p[0] = 1
-            _powers[k] = np.cumprod(p, dtype=np.uint64)
-    return _powers[0][:n], _powers[1][:n]
+class Hashes(dict):
+    """XXH3 of words, each computed once while it is remembered."""
 
+    def __missing__(self, word: bytes) -> int:
+        self[word] = out = xxhash.xxh3_64_intdigest(word, 20_240_229)
+        return out
 
-def _parts(texts: list[str | None]) -> Iterator[tuple[list[int], list[bytes]]]:
-    """Texts' bytes in batches of about PIECE; longer texts are cut at white space."""
+
+_hashes = Hashes()
+
+
+def text_parts(texts: list[str | None]) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Texts' bytes (A-Z lower-cased) in batches of about PIECE, with the texts' numbers; longer texts are cut at white space."""
     owners: list[int] = []
     some: list[bytes] = []
     size = 0
@@ -60,28 +57,20 @@ def _parts(texts: list[str | None]) -> Iterator[tuple[list[int], list[bytes]]]:
         yield owners, some
 
 
-def words_of(texts: list[str | None], ends: bool = False) -> tuple[np.ndarray, ...]:
+def words_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of the texts (A-Z lower-cased, cut at the six ASCII white spaces), and where each text's begin
-    and end in them. A word's hash depends on its bytes alone. ends: also a number made of each word's last three bytes."""
-    found, lasts = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
-    count = np.zeros(len(texts), dtype=np.int64)
-    for owners, raws in _parts(texts):
-        data = np.frombuffer(b"\n".join([*raws, b""]), dtype=np.uint8)
-        up, down = powers(len(data) + 1)
-        total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_BYTE[data] * up[: len(data)], dtype=np.uint64)])
-        inside = np.concatenate([[False], ~_SPACE[data], [False]])
-        edge = np.flatnonzero(inside[1:] != inside[:-1])
-        start, end = edge[::2], edge[1::2]
-        found.append(mix64((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)))
-        at = np.searchsorted(start, np.concatenate([[0], np.cumsum([len(r) + 1 for r in raws])]))
-        np.add.at(count, owners, np.diff(at))
-        if ends:
-            last = np.zeros(len(start), dtype=np.int64)
-            for k in (1, 2, 3):
-                last = last * 256 + np.where(end - k >= start, data[np.maximum(end - k, 0)], 0)
-            lasts.append(last)
-    out = np.concatenate(found), np.concatenate([[0], np.cumsum(count)])
-    return (*out, np.concatenate(lasts)) if ends else out
+    and end in them. A word's hash depends on its bytes alone."""
+    found, count = [np.zeros(0, dtype=np.uint64)], np.zeros(len(texts), dtype=np.int64)
+    for owners, raws in text_parts(texts):
+        words: list[bytes] = []
+        for k, raw in zip(owners, raws, strict=True):
+            some = raw.split()
+            count[k] += len(some)
+            words += some
+        if len(_hashes) > WORDS:
+            _hashes.clear()
+        found.append(np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words)))
+    return np.concatenate(found), np.concatenate([[0], np.cumsum(count)])
 
 
 def shingles(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -91,5 +80,5 @@ def shingles(hashes: np.ndarray, n: int) -> np.ndarray:
         return hashes
     out = np.zeros(len(hashes) - n + 1, dtype=np.uint64)
     for k in range(n):
-        out = out * _BASE + hashes[k : k + len(out)]
-    return mix64(out + np.uint64(n))
+        out = mix64(out * _BASE + hashes[k : k + len(out)])
+    return out

@@ -1,61 +1,101 @@
-"""N-gram Jaccard join by MinHash in fixed bands, with exact verification.
+"""N-gram Jaccard join by a MinHash LSH forest, with exact verification.
 
 1. Each text becomes its set of word 5-gram hashes; texts of one set are one node, with the number of rows that have it.
-2. Bands: TREES bands of depth_for() minima each, the most (up to LABEL) with which a pair at the threshold meets in some
-   band with the target recall. This is not an LSH forest: no labels of LABEL minima are built or sorted, and the depth
-   does not adapt to the data. A node's key in a band is the hash of its minima there.
-3. Nodes that meet form candidate groups (connected components of star edges, a row per node and band at most).
-4. Verification: a group is cut into blocks of at most about BLOCK nodes, and each pair of blocks is one task's unit, in
-   which shared n-grams are counted by matrix products over all pairs. No pair becomes a row: a unit returns a row per
-   node, with the rows it is linked to and the smallest node of its connected part. Block sizes are bounded, so hot
-   groups are many units, not one large one.
-5. Components over these rows are the classes.
+2. Forest: in each of TREES tries a node is a label of LABEL minima. Two nodes meet at a depth of a trie if their labels
+   begin with the same so many minima. A trie's level is its labels in the order of their prefixes, so that nodes that meet
+   lie together; a level is kept as a row per node with the prefix's hash, and the joins on it sort by that.
+3. Shortening: a node's prefixes begin with the whole label and lose minima until a pair of the least similarity that this
+   node can have with any other set (from the sizes that reach the threshold) meets in some trie with the target recall.
+   There the node stops: sets of 6 or 7 n-grams stop earlier than others, those of 3 and fewer match none but themselves.
+   The levels in between add no pairs, as a run of a longer prefix lies inside one of a shorter prefix.
+4. Cells: nodes that meet by whole labels are gathered (contracted components of a star of edges for each run) and cut into
+   cells of about BLOCK nodes and GRAMS n-grams at most. Nodes gathered together are compared cell by cell; of other pairs
+   of cells, those nodes that meet one of the other cell at the depth where they stop.
+5. Verification: a pair of cells is a unit, in which shared n-grams are counted by matrix products. No pair becomes a row:
+   a unit returns a row per node, with the rows it is linked to and the smallest node of its connected part. Units are
+   bounded in nodes and bytes, so hot groups are many units, dealt out over all tasks.
+6. Components over these rows are the classes.
 
 Defined results: texts without words (null, empty) have no links and are classes of their own row. Rows of equal word
 sets are linked to each other. Texts of fewer than 5 words have one n-gram, all their words. A class is named by its
-smallest doc_id; a row with null doc_id takes part, and a class with nothing else is named null. Empty tables give empty
-tables. Of the input's columns only doc_id and text are read; keep_one() keeps all.
+smallest doc_id; a row with null doc_id takes part, and a class with nothing else is named null. A very long text is one
+set, of which a task holds some copies. Empty tables give empty tables. Of the input's columns only doc_id and text are
+read; keep_one() keeps all.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
+from collections.abc import Iterator
+from functools import cache
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import doc_text, map_arrow, stored
+from .common import discard, doc_text, map_arrow, stored
 from .hashing import mix64, shingles, words_of
 
-N, THRESHOLD, TREES, LABEL, RECALL, BLOCK = 5, 0.8, 32, 12, 0.9999, 256
-_A = np.random.default_rng(7).integers(0, 2**64, TREES * LABEL, dtype=np.uint64) | np.uint64(1)
-_B = np.random.default_rng(8).integers(0, 2**64, TREES * LABEL, dtype=np.uint64)
+N, THRESHOLD, TREES, LABEL, RECALL, BLOCK, GRAMS = 5, 0.8, 32, 8, 0.999, 256, 1 << 20
+_A = np.random.default_rng(7).integers(0, 2**32, TREES * LABEL, dtype=np.uint32) | np.uint32(1)
+_B = np.random.default_rng(8).integers(0, 2**32, TREES * LABEL, dtype=np.uint32)
+#: A set's size from which on some other size allows almost any similarity.
+MANY = 64
+
+
+# The forest
 
 
-def depth_for(threshold: float = THRESHOLD, trees: int = TREES, label: int = LABEL, recall: float = RECALL) -> int:
-    """The most minima a band at which a pair of that similarity meets in at least one band with the target recall."""
-    depth = label
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
+def depth_for(similarity: float) -> int:
+    """The longest prefix by which a pair of that similarity meets in some trie with the target recall; 1 if none does."""
+    depth = LABEL
+    while depth > 1 and 1 - (1 - similarity**depth) ** TREES < RECALL:
         depth -= 1
     return depth
 
 
-def minima(grams: np.ndarray, count: int) -> np.ndarray:
-    """The least of the n-grams' values under each of `count` hash functions."""
-    out = np.full(count, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(grams), 2048):
-        out = np.minimum(out, (_A[:count, None] * grams[None, at : at + 2048] + _B[:count, None]).min(axis=1))
-    return out
+def partners(size: int, threshold: float) -> Iterator[tuple[int, float]]:
+    """Sizes of other sets that can reach the threshold with one of this size, and the least similarity they do it at."""
+    for other in range(math.ceil(threshold * size - 1e-9), math.floor(size / threshold + 1e-9) + 1):
+        shared = math.ceil(threshold * (size + other) / (1 + threshold) - 1e-9)
+        if shared <= min(size, other) and (shared < size or other != size):
+            yield other, shared / (size + other - shared)
+
+
+@cache
+def stop(size: int, threshold: float) -> int | None:
+    """The depth at which a node of that size stops; None if no other set can reach the threshold."""
+    if size >= MANY:
+        return depth_for(threshold)
+    return min((depth_for(s) for _, s in partners(size, threshold)), default=None)
+
+
+@cache
+def levels(size: int, threshold: float) -> tuple[int, ...]:
+    """The depths at which a node has to be found: its own stop and those of the sizes that can be linked to it."""
+    if size >= 2 * MANY:
+        return (depth_for(threshold),)
+    return tuple(sorted({d for s in [size, *(o for o, _ in partners(size, threshold))] if (d := stop(s, threshold))})) if stop(size, threshold) else ()
+
+
+def labels(grams: np.ndarray) -> np.ndarray:
+    """The node's label in each trie: the least values of its n-grams under so many hash functions."""
+    out, short = np.full(TREES * LABEL, 0xFFFFFFFF, dtype=np.uint32), (grams >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(short), 512):
+        out = np.minimum(out, (_A[:, None] * short[None, at : at + 512] + _B[:, None]).min(axis=1))
+    return out.reshape(TREES, LABEL)
 
 
-def keys(grams: np.ndarray, depth: int) -> np.ndarray:
-    """A node's key in each band."""
-    labels = minima(grams, TREES * depth).reshape(TREES, depth)
-    out = np.arange(1, TREES + 1, dtype=np.uint64)
-    for k in range(depth):
-        out = mix64(out * _A[0] + labels[:, k])
-    return out.view(np.int64)
+def prefixes(label: np.ndarray, depths: tuple[int, ...]) -> list[np.ndarray]:
+    """Hashes of the labels' prefixes of these depths (and of trie and depth), a value for each trie."""
+    h = mix64(np.arange(1, TREES + 1, dtype=np.uint64))
+    at = []
+    for d in range(LABEL):
+        h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + label[:, d])
+        at.append(h.view(np.int64))
+    return [at[d - 1] for d in depths]
 
 
 def gram_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
@@ -65,19 +105,32 @@ def gram_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
 
 def node_of(grams: np.ndarray) -> int:
     """A set's name: a 64-bit hash of its members."""
-    with np.errstate(over="ignore"):
-        return int(mix64(np.array([mix64(grams + np.uint64(1)).sum(dtype=np.uint64) + mix64(grams ^ np.uint64(0x5851F42D4C957F2D)).prod(dtype=np.uint64) * np.uint64(3) + np.uint64(len(grams))], dtype=np.uint64)).view(np.int64)[0])
+    return int.from_bytes(hashlib.blake2b(grams.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def sketches(docs: DataFrame, n: int = N, depth: int | None = None) -> DataFrame:
-    """doc_id, node (null without words), keys of every row."""
-    depth = depth or depth_for()
+def with_hash(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the text's hash, which tells rows of equal or null doc_id apart."""
+    return doc_text(docs).withColumn("text_hash", F.xxhash64("text"))
+
+
+def sketches(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, text_hash, node (null without words), size, whole and short (hashes of labels and of prefixes) of every row."""
 
     def sketch(c: dict) -> dict:
-        sets = gram_sets(c["text"].to_pylist(), n)
-        return {"doc_id": c["doc_id"], "node": pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), "keys": [keys(s, depth) if len(s) else [] for s in sets]}
+        out: dict[str, list] = {"node": [], "size": [], "whole": [], "short": []}
+        for s in gram_sets(c["text"].to_pylist(), n):
+            depths = levels(len(s), threshold) if len(s) else ()
+            found = prefixes(labels(s), (LABEL, *depths)) if depths else []
+            out["node"].append(node_of(s) if len(s) else None)
+            out["size"].append(len(s))
+            out["whole"].append(found[0] if depths else [])
+            out["short"].append(np.concatenate(found[1:]) if depths else [])
+        return {"doc_id": c["doc_id"], "text_hash": c["text_hash"], **out, "node": pa.array(out["node"], pa.int64())}
+
+    return map_arrow(with_hash(docs), sketch, "doc_id long, text_hash long, node long, size long, whole array<long>, short array<long>")
+
 
-    return map_arrow(doc_text(docs), sketch, "doc_id long, node long, keys array<long>")
+# Components
 
 
 def _nearest(edges: DataFrame) -> DataFrame:
@@ -114,24 +167,31 @@ def components(edges: DataFrame) -> DataFrame:
     return labels.join(least, "part").select("node", F.col("least").alias("part"))
 
 
+# Verification
+
+
 def linked(sets: list[np.ndarray], threshold: float) -> np.ndarray:
     """Which pairs of sets reach the threshold: a boolean matrix with a false diagonal."""
     n = len(sets)
     sizes = np.array([len(s) for s in sets])
-    flat, owner = np.concatenate(sets), np.repeat(np.arange(n), sizes)
-    _, code, times = np.unique(flat, return_inverse=True, return_counts=True)
-    shared = times[code] > 1
-    code, owner = code[shared], owner[shared]
-    order = np.argsort(code, kind="stable")
-    code, owner = code[order], owner[order]
-    _, code = np.unique(code, return_inverse=True)
-    common = np.zeros((n, n), dtype=np.float32)
-    step = max(1, (1 << 22) // n)
-    for first in range(0, int(code[-1]) + 1 if len(code) else 0, step):
-        a, b = np.searchsorted(code, [first, first + step])
-        m = np.zeros((n, step), dtype=np.float32)
-        m[owner[a:b], code[a:b] - first] = 1
-        common += m @ m.T
+    if n == 2:
+        flat = np.sort(np.concatenate(sets))
+        common = np.full((2, 2), np.count_nonzero(flat[1:] == flat[:-1]))
+    else:
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(n), sizes)
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        new = np.append(True, flat[1:] != flat[:-1])
+        shared = ~new
+        shared[:-1] |= ~new[1:]
+        code, owner = np.cumsum(new[shared]) - 1, owner[shared]
+        common = np.zeros((n, n), dtype=np.float32)
+        step = max(1, (1 << 21) // n)
+        for first in range(0, int(code[-1]) + 1 if len(code) else 0, step):
+            a, b = np.searchsorted(code, [first, first + step])
+            m = np.zeros((n, min(step, int(code[-1]) + 1 - first)), dtype=np.float32)
+            m[owner[a:b], code[a:b] - first] = 1
+            common += m @ m.T
     out = common >= threshold * (sizes[:, None] + sizes[None, :] - common) - 1e-4
     np.fill_diagonal(out, False)
     return out
@@ -148,46 +208,111 @@ def _parts(links: np.ndarray) -> np.ndarray:
         part = near
 
 
-def verify(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """One pair of blocks. Columns: i, j, block, node, rows, grams. Pairs are those between the two blocks, or inside one."""
-    pdf = pdf.drop_duplicates("node").sort_values("node")
-    links = linked([np.frombuffer(g, dtype=np.uint64) for g in pdf["grams"]], threshold)
-    block = pdf["block"].to_numpy()
-    if pdf["i"].iloc[0] != pdf["j"].iloc[0]:
-        links &= block[:, None] != block[None, :]
-    node, rows = pdf["node"].to_numpy(), pdf["rows"].to_numpy()
-    any_link = links.any(axis=1)
-    return pd.DataFrame({"node": node, "first": node[_parts(links)], "links": links @ rows})[any_link]
+def verify(unit: list[tuple], threshold: float) -> list[tuple]:
+    """(node, first, links) of the linked nodes of a unit, whose rows are (second, node, rows, grams): a node is of the unit's
+    first cell or of its second, and pairs are those between the two, or all if there is one cell."""
+    unit = sorted({u[1]: u for u in unit}.values(), key=lambda u: u[1])
+    if len(unit) < 2:
+        return []
+    links = linked([np.frombuffer(u[3], dtype=np.uint64) for u in unit], threshold)
+    second = np.array([u[0] for u in unit])
+    if second.any():
+        links &= second[:, None] != second[None, :]
+    part, count = _parts(links), links @ np.array([u[2] for u in unit])
+    return [(unit[k][1], unit[part[k]][1], int(count[k])) for k in np.flatnonzero(links.any(axis=1))]
+
+
+UNIT = ["part_a", "block_a", "part_b", "block_b"]
+
+
+def _verified(rows: DataFrame, threshold: float) -> DataFrame:
+    """verify() of units, whose rows are dealt out by unit and lie together in each partition."""
+    first = len(UNIT)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, name, found = [], None, []
+
+        def packed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(3)], names=["node", "first", "links"])
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                some = batch.slice(at, 512)
+                for r in zip(*(some.column(k).to_pylist() for k in range(some.num_columns)), strict=True):
+                    if r[:first] != name:
+                        found += verify(unit, threshold)
+                        unit, name = [], r[:first]
+                    unit.append(r[first:])
+                if len(found) > 10_000:
+                    yield packed()
+                    found = []
+        found += verify(unit, threshold)
+        yield packed()
+
+    rows = rows.select(*UNIT, "second", "node", "rows", "grams").repartition(*UNIT).sortWithinPartitions(*UNIT)
+    return rows.mapInArrow(run, "node long, first long, links long")
+
+
+# The operator
 
 
 def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id and n_links (rows, this one aside, whose similarity reaches the threshold) of every row."""
-    return _joined(stored(sketches(docs, n, depth_for(threshold)), "jaccard-sketches"), docs, n, threshold)
+    return _joined(stored(sketches(docs, n, threshold), "jaccard-sketches"), docs, n, threshold)
+
+
+def _met(rows: DataFrame, column: str) -> DataFrame:
+    """key, node, size and hub (the key's smallest node) of all keys that several nodes have."""
+    met = stored(rows.filter("node is not null").select("node", "size", F.explode(column).alias("key")).distinct(), "jaccard-keys", "zstd")
+    hubs = met.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("key", "hub")
+    out = stored(met.join(hubs, "key"), "jaccard-met", "zstd")
+    discard(met)
+    return out
+
+
+def _units(rows: DataFrame, threshold: float) -> DataFrame:
+    """Units (as UNIT) with their nodes and whether each is of the unit's second cell: all pairs of cells of one part, and of
+    cells of different parts the nodes that meet one of the other cell where they stop, and of a size that one of those can
+    be linked with. A node in no part is its own."""
+    star = _met(rows, "whole").filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    size = rows.filter("node is not null").groupBy("node").agg(F.max("size").alias("size"))
+    parts = stored(components(star).join(size, "node"), "jaccard-parts")
+    of_part = parts.groupBy("part").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / GRAMS)).cast("int").alias("blocks"))
+    placed = parts.join(of_part, "part").select("node", "part", "blocks", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int").alias("block"))
+    placed = stored(placed, "jaccard-cells")
+    inside = placed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    inside = inside.select("node", F.col("part").alias("part_a"), F.least("block", "other").alias("block_a"), F.col("part").alias("part_b"), F.greatest("block", "other").alias("block_b"), (F.col("block") > F.col("other")).alias("second"))
+    met = _met(rows, "short").select("key", "node", "size").join(placed.select("node", "part", "block"), "node", "left")
+    met = met.select("key", "node", "size", F.coalesce("part", "node").alias("part"), F.coalesce("block", F.lit(0)).alias("block"))
+    mixed = met.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("key")
+    met = stored(met.join(mixed, "key"), "jaccard-mixed")
+    others = met.groupBy("key", F.col("part").alias("p"), F.col("block").alias("k")).agg(F.min("size").alias("least"), F.max("size").alias("most"))
+    fits = (F.col("size") >= F.lit(threshold) * F.col("least") - 1e-6) & (F.col("most") >= F.lit(threshold) * F.col("size") - 1e-6)
+    second, mine, its = F.col("part") > F.col("p"), F.struct("part", "block"), F.struct(F.col("p").alias("part"), F.col("k").alias("block"))
+    between = met.join(others, "key").filter((F.col("part") != F.col("p")) & fits).select("node", F.when(second, its).otherwise(mine).alias("a"), F.when(second, mine).otherwise(its).alias("b"), second.alias("second"))
+    between = between.select("node", F.col("a.part").alias("part_a"), F.col("a.block").alias("block_a"), F.col("b.part").alias("part_b"), F.col("b.block").alias("block_b"), "second").distinct()
+    return stored(inside.unionByName(between), "jaccard-units")
 
 
 def _joined(rows: DataFrame, docs: DataFrame, n: int, threshold: float) -> DataFrame:
-    nodes = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("rows"))
+    # Of the rows of a node, the one with the least doc_id (null first) and text hash gives the n-grams.
+    nodes = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("rows"), F.min(F.struct("doc_id", "text_hash")).alias("from"))
     nodes = stored(nodes, "jaccard-nodes")
-    # A node's keys come from any of its rows; equal (node, key) rows fall together before the shuffle.
-    met = rows.filter("node is not null").select("node", F.explode("keys").alias("key")).distinct()
-    met = stored(met, "jaccard-keys")
-    hubs = met.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("key", "hub")
-    groups = components(met.join(hubs, "key").filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
-    groups = stored(groups, "jaccard-groups")
-    sizes = groups.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = groups.join(sizes, "part").join(nodes, "node").select("node", "part", "blocks", "rows", "first_doc", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int").alias("block"))
+    units = _units(rows, threshold)
+    needed = units.select("node").distinct().join(nodes, "node").select("node", F.col("from.doc_id").alias("d"), F.col("from.text_hash").alias("t"))
+    texts = with_hash(docs)
+    if not rows.groupBy("doc_id", "text_hash").count().filter("count > 1").isEmpty():
+        texts = texts.dropDuplicates(["doc_id", "text_hash", "text"])
 
     def grams(c: dict) -> dict:
         sets = gram_sets(c["text"].to_pylist(), n)
         good = [k for k, (s, w) in enumerate(zip(sets, c["node"].to_pylist(), strict=True)) if node_of(s) == w]
-        return {k: v.take(pa.array(good, pa.int64())) for k, v in c.items() if k in ("node", "part", "blocks", "rows", "block")} | {"grams": pa.array([sets[k].tobytes() for k in good], pa.binary())}
-
-    with_text = placed.join(doc_text(docs), F.col("first_doc").eqNullSafe(F.col("doc_id"))).select("node", "part", "blocks", "rows", "block", "text")
-    sets = map_arrow(with_text, grams, "node long, part long, blocks int, rows long, block int, grams binary")
-    other = F.explode(F.expr("sequence(0, blocks - 1)")).alias("other")
-    units = sets.select("node", "part", "rows", "block", "grams", other).select("node", "part", "rows", "block", "grams", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    found = units.groupBy("part", "i", "j").applyInPandas(lambda pdf: verify(pdf, threshold), "node long, first long, links long")
-    found = stored(found, "jaccard-links")
+        return {"node": c["node"].take(pa.array(good, pa.int64())), "grams": pa.array([sets[k].tobytes() for k in good], pa.binary())}
+
+    with_text = texts.join(needed, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t"))).select("node", "text")
+    sets = stored(map_arrow(with_text, grams, "node long, grams binary"), "jaccard-sets")
+    found = stored(_verified(units.join(nodes.select("node", "rows"), "node").join(sets, "node"), threshold), "jaccard-links")
+    discard(sets)
     classes = components(found.filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     named = nodes.join(classes, "node", "left").withColumn("part", F.coalesce("part", "node"))
@@ -199,11 +324,9 @@ def _joined(rows: DataFrame, docs: DataFrame, n: int, threshold: float) -> DataF
 def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, all columns, of the smallest doc_id of each class. Rows that share a doc_id are one document:
     they go only if none of them leads a class, and of rows repeated whole one stays."""
-    rows = stored(sketches(docs, n, depth_for(threshold)), "jaccard-sketches")
+    rows = stored(sketches(docs, n, threshold), "jaccard-sketches")
     classes = stored(_joined(rows, docs, n, threshold), "jaccard-classes")
     gone = classes.groupBy("doc_id").agg(F.max(F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("leads")).filter("not leads").select(F.col("doc_id").alias("__jaccard_doc"))
     kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("__jaccard_doc"), "left_anti")
     unique = rows.groupBy("doc_id").count().filter("count > 1").isEmpty()
     return kept if unique else kept.dropDuplicates(["doc_id", "text"])
-
-

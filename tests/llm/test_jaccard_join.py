@@ -53,7 +53,7 @@ def test_join_matches_all_pairs(spark, monkeypatch, block):
     texts = [*near_copies(5), None, "", " ", "a", "A", "a b c d", "a b c d e", "same text here again and again", "same text here again and again", "x " * 5000]
     rows = [(i * 3 + 7, t) for i, t in enumerate(texts)]
     rows += [(None, rows[0][1]), (None, "alone with no id of its own here"), rows[3]]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit("clash")).withColumn("keys", F.lit(0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit("clash")).withColumn("key", F.lit(0))
     got = sorted((tuple(r) for r in jaccard_join.join(docs).collect()), key=str)
     assert got == brute(rows)
     kept = {r.doc_id for r in jaccard_join.keep_one(docs).collect()}
@@ -65,10 +65,42 @@ def test_empty_table(spark):
     assert jaccard_join.join(docs).count() == 0 and jaccard_join.keep_one(docs).count() == 0
 
 
-def test_depth_reaches_the_recall_and_no_shallower():
-    d = jaccard_join.depth_for()
-    rate = lambda k: 1 - (1 - 0.8**k) ** jaccard_join.TREES
-    assert rate(d) >= jaccard_join.RECALL > rate(d + 1)
+@pytest.mark.parametrize("threshold", [0.8, 0.7])
+def test_nodes_stop_where_the_recall_is_met_and_no_deeper(threshold):
+    rate = lambda s, d: 1 - (1 - s**d) ** jaccard_join.TREES
+    for size in [*range(1, 40), 500]:
+        pairs = [i / (size + o - i) for o in range(1, 2 * size) for i in range(1, min(size, o) + 1) if not i == o == size and i >= threshold * (size + o - i) - 1e-9]
+        least = min(pairs, default=None) if size < 40 else threshold
+        d = jaccard_join.stop(size, threshold)
+        assert (d is None) == (least is None)
+        if d:
+            assert rate(least, d) >= jaccard_join.RECALL or d == 1
+            assert d == jaccard_join.LABEL or rate(least, d + 1) < jaccard_join.RECALL
+            assert d in jaccard_join.levels(size, threshold)
+
+
+def test_recall_against_all_pairs(spark):
+    """Sets of 60 to 200 n-grams at similarities of 0.8 to 0.9, where a pair is hardest to meet."""
+    r, rows = random.Random(11), []
+    for k in range(400):
+        base = [f"g{k}w{j}" for j in range(r.randrange(60, 200))]
+        changed = list(base)
+        for _ in range(max(1, len(base) // r.randrange(55, 90))):
+            changed[r.randrange(len(changed))] = f"x{r.randrange(10**9)}"
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(changed))]
+    sets = jaccard_join.gram_sets([t for _, t in rows], 5)
+    near = [k for k in range(400) if 0.8 <= len(np.intersect1d(sets[2 * k], sets[2 * k + 1])) / len(np.union1d(sets[2 * k], sets[2 * k + 1])) <= 0.9]
+    got = {x.doc_id: x.class_id for x in jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(near) > 80 and sum(got[2 * k + 1] == 2 * k for k in near) >= 0.99 * len(near)
+
+
+def test_rows_without_ids_and_words_that_polynomials_confuse(spark):
+    """Two words in Thue-Morse order, which all hashes by a polynomial modulo a power of two take for one."""
+    morse = "".join("ab"[bin(k).count("1") % 2] for k in range(2048))
+    other = morse.translate(str.maketrans("ab", "ba"))
+    rows = [(1, morse), (2, other)] + [(None, f"row {k} {'of its own ' * (k % 3)} {k * k}") for k in range(3000)]
+    got = jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and all(r.n_links == 0 for r in got)
 
 
 def test_links_by_matrix():
