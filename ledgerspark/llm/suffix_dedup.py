@@ -4,7 +4,8 @@
    own equal grams at equal places, so windows can repeat only where an anchor repeats. Neighbouring windows of one anchor
    are one segment; a text has about one for every 35 bytes.
 2. Anchors are counted over the corpus (a partial count in each task first), and segments of anchors that occur once are
-   gone. Segments of equal bytes are one content, of which the first occurrence counts; all others repeat it whole.
+   gone. Segments of equal bytes (of one anchor, and of equal 64-bit XXH3 values) are one content, of which the first
+   occurrence counts; all others repeat it whole.
 3. Suffix arrays. Contents are dealt out by anchor, so that all windows that may be equal meet in one partition. There
    the suffixes of contents are sorted in two stages: those smaller than their successor directly, the rest induced by
    scans over the buckets of first bytes; then the common prefixes of neighbours are computed. A run of neighbours with
@@ -28,16 +29,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, doc_text, fits, map_arrow, stored
-from .hashing import _BASE, _BYTE, mix64, powers
+from .hashing import mix64
 
 LENGTH, GRAM = 100, 32
 #: Bytes that are hashed at once; bytes of contents that are sorted at once; contents of one anchor from which it is hot;
 #: document numbers that are broadcast at most, to keep texts without marks out of the shuffles.
-PIECE, CHUNK, HOT, IDS = 2 << 20, 4 << 20, 20_000, 2_000_000
+PIECE, CHUNK, HOT, IDS = 1 << 20, 1 << 20, 5_000, 2_000_000
+#: For the grams' rolling hash, of which equal values cost time but are told apart when contents are sorted.
+_BASE, _BYTE = np.uint64(0x9E3779B97F4A7C15), np.random.default_rng(20_240_229).integers(0, 2**64, 256, dtype=np.uint64)
 
 
 # Anchors and segments
@@ -71,9 +75,8 @@ def segments(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     start = np.flatnonzero(new & inside)
     edge = np.flatnonzero(new | ~inside)
     stop = np.append(edge, n)[np.searchsorted(edge, start, side="right")]
-    up, down = powers(len(data) + 1)
-    total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_BYTE[data] * up[: len(data)], dtype=np.uint64)])
-    content = mix64((total[stop + LENGTH - 1] - total[start]) * down[start] + (stop - start).astype(np.uint64))
+    raw, digest = data.tobytes(), xxhash.xxh3_64_intdigest
+    content = np.fromiter((digest(raw[a:b]) for a, b in zip(start.tolist(), (stop + LENGTH - 1).tolist(), strict=True)), dtype=np.uint64, count=len(start))
     return start, stop - start, gram[owner[start]].view(np.int64), content.view(np.int64)
 
 
@@ -141,17 +144,16 @@ def _sort_directly(words: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
 def two_stage_sort(data: np.ndarray, wanted: np.ndarray, depth: int = LENGTH) -> np.ndarray:
     """Suffixes at the wanted places (a mask) and at those needed to induce them, in the order of their first `depth` bytes."""
     n = len(data)
-    change = np.flatnonzero(data[1:] != data[:-1])
-    following = np.append(change, n - 1)[np.searchsorted(change, np.arange(n))]
-    ahead = np.minimum(following + 1, n - 1)
-    smaller = (data[ahead] > data) | (following == n - 1)  # than its successor; also the last run of equal bytes
+    ends = np.append(np.flatnonzero(data[1:] != data[:-1]), n - 1)  # of runs of equal bytes
+    ahead = np.minimum(ends + 1, n - 1)
+    smaller = np.repeat((data[ahead] > data[ends]) | (ends == n - 1), np.diff(ends, prepend=-1))  # than its successor; also the last run
     # A suffix is induced from its successor, so the places up to the next directly sorted one are needed.
     direct = np.flatnonzero(smaller)
     last = np.flatnonzero(wanted)
-    needed = np.zeros(n + 1, dtype=np.int64)
-    np.add.at(needed, last, 1)
-    np.add.at(needed, direct[np.searchsorted(direct, last)] + 1, -1)
-    needed = np.cumsum(needed[:n]) > 0
+    needed = np.zeros(n + 1, dtype=np.int32)
+    needed[last] = 1
+    needed -= np.bincount(direct[np.searchsorted(direct, last)] + 1, minlength=n + 1).astype(np.int32)
+    needed = np.cumsum(needed[:n], dtype=np.int32) > 0
     first = _sort_directly(_words(data), np.flatnonzero(needed & smaller), depth)
     count = np.bincount(data[needed], minlength=256)
     begin = np.concatenate([[0], np.cumsum(count)[:-1]])
