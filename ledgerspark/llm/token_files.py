@@ -4,7 +4,7 @@ Documents are dealt out by ranges of doc_id (rows of equal doc_id stay together)
 where they lie, and written as one ORC file for each range: a file is a run of ascending doc_id and so is the dataset.
 A small index dataset beside it has each file's range, rows, ids and the number of ids before it, so that a reader can
 go to a position in the token stream or to a document without opening other files; inside a file the stripes' statistics,
-row indexes and Bloom filters prune.
+row indexes and Bloom filters prune. Files are ordered by their least doc_id, not by their names.
 
 Defined results: a null text counts as empty and is the end id alone. Rows of equal doc_id (null first) are ordered by
 their text, and each of repeated rows is written. An empty table gives files without rows. Of the input's columns only
@@ -22,30 +22,34 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import doc_text, map_arrow
-from .hashing import _BYTE, mix64, powers
 
-END, PATHS, PIECES, BATCH_CHARS, SCHEMA = 2, 3_000_000, 500_000, 2 << 20, "doc_id long, place long, n_tokens long, ids array<int>"
+END, WORDS, PIECES, BATCH_CHARS, SCHEMA = 2, 2_000_000, 250_000, 1 << 20, "doc_id long, place long, n_tokens long, ids array<int>"
 #: Bytes of text that a file should have at most, on the average.
 FILE_BYTES = 64 << 20
-ORC = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "2000", "orc.stripe.size": str(16 << 20), "orc.dictionary.key.threshold": "0"}
-#: Texts with other white space than single spaces and line ends between words, or with special strings, go to the tokenizer whole.
-_ODD = re.compile(r"[^\S \n]|  | \n|\n[ \n]|\A | \Z|<\|")
-#: Bytes of such white space, and the two bytes with which other such characters and special strings begin.
-_ALONE = np.zeros(256, dtype=bool)
-_ALONE[[9, 11, 12, 13, 28, 29, 30, 31]] = True
-_FOLLOW = {0x3C: (0x7C,), 0xC2: (0x85, 0xA0), 0xE1: (0x9A,), 0xE2: (0x80, 0x81), 0xE3: (0x80,)}
-_STOP = 255  # a byte that no UTF-8 text has; it stands at the end of each text
+ORC = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "2000", "orc.stripe.size": str(8 << 20), "orc.dictionary.key.threshold": "0"}
+#: A text's units: words, with the space before them, and line ends between words. Texts with other white space, or with
+#: special strings, are not covered by units and go to the tokenizer whole.
+_UNITS = re.compile(r" ?\S+|\n(?=\S|\Z)")
+
+
+class Units(dict):
+    """Numbers of a batch's distinct units, in the order in which they were first seen."""
+
+    def __missing__(self, unit: str) -> int:
+        self[unit] = out = len(self)
+        return out
 
 
 class Encoder:
-    """Ids of texts. Words after a space, words at the start of a line and line ends are independent for this kind of
-    tokenizer, and so are the pieces that it cuts words into before it merges. So each distinct word of a batch is looked
-    up once (by a 64-bit hash of its bytes and of what stands before it), each distinct piece is encoded once, and the
-    ids are put in the words' places by numpy. They are those of the whole text."""
+    """Ids of texts. Units are independent for this kind of tokenizer, and so are the pieces that it cuts them into before
+    it merges. So each distinct unit is cut and each distinct piece encoded once while it is remembered, and numpy puts the
+    ids in the units' places. They are those of the whole text. Units of a batch are told apart by their characters, and
+    from those remembered by all 128 bits of an XXH3 hash."""
 
     def __init__(self, path: str):
         import public_tokenizers
@@ -55,107 +59,87 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(path)
         self.pattern = regex.compile(public_tokenizers.PATTERN)
-        self.line_end = self.bytes_of(["\n"])[0]
+        self.pieces: dict[str, bytes] = {}
         self.forget()
 
     def forget(self) -> None:
-        """Known words as sorted hashes, with each one's place and number of ids in a pool: some 30 bytes a word."""
-        self.keys = np.zeros(0, dtype=np.uint64)
-        self.at, self.size = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        self.pool = np.zeros(0, dtype="<u4")
-        self.pieces: dict[str, bytes] = {}
+        """Remembered units: sorted low halves of their hashes, high halves, and each one's place and number of ids in the pool."""
+        self.low, self.high = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)
+        self.at, self.size, self.pool = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int32), np.zeros(0, dtype="<u4")
 
     def bytes_of(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _cut(self, word: str, before: str) -> list[str]:
-        core = word.rstrip(".,")
-        if core.isalpha():
-            return [before + core, word[len(core) :]] if len(core) < len(word) else [before + core]
-        return self.pattern.findall(before + word)
+    def _cut(self, unit: str) -> list[str]:
+        core = unit.rstrip(".,")
+        if core[core[:1] == " " :].isalpha():
+            return [core, unit[len(core) :]] if len(core) < len(unit) else [core]
+        return self.pattern.findall(unit)
 
-    def _learn(self, keys: np.ndarray, words: list[str], before: list[str]) -> None:
-        """Adds words, in the order of their hashes, that are not known yet."""
+    def _learn(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Appends the units' ids to the pool: place and number of each one's."""
         if len(self.pieces) > PIECES:
             self.pieces = {}
-        cut = list(map(self._cut, words, before))
+        cut = list(map(self._cut, units))
         pieces = list({p for c in cut for p in c if p not in self.pieces})
         for at in range(0, len(pieces), 10_000):
             some = pieces[at : at + 10_000]
             self.pieces.update(zip(some, self.bytes_of(some), strict=True))
         get = self.pieces.__getitem__
         ids = [get(c[0]) if len(c) == 1 else b"".join(map(get, c)) for c in cut]
-        size = np.array([len(x) // 4 for x in ids], dtype=np.int64)
-        all_keys = np.concatenate([self.keys, keys])
-        order = np.argsort(all_keys, kind="stable")
-        self.keys = all_keys[order]
-        self.at = np.concatenate([self.at, len(self.pool) + np.cumsum(size) - size])[order]
-        self.size = np.concatenate([self.size, size])[order]
+        size = np.fromiter(map(len, ids), dtype=np.int32, count=len(ids)) // 4
+        at = (len(self.pool) + np.cumsum(size) - size).astype(np.int32)
         self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(ids), dtype="<u4")])
-
-    def _suspects(self, data: np.ndarray) -> list[int]:
-        """Texts that have bytes of odd white space or special strings, or white space in other places than between words."""
-        space, line, stop = data == 32, data == 10, data == _STOP
-        ahead, behind = np.append(data[1:], _STOP), np.concatenate([[_STOP], data[:-1]])
-        bad = space & ((ahead == 32) | (ahead == 10) | (ahead == _STOP) | (behind == 10) | (behind == _STOP)) | line & (ahead == 10)
-        bad |= _ALONE[data]
-        for lead, follow in _FOLLOW.items():
-            first = data == lead
-            for f in follow:
-                bad |= first & (ahead == f)
-        return np.unique(np.searchsorted(np.flatnonzero(stop), np.flatnonzero(bad))).tolist()
+        return at, size
+
+    def _places(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Place and number of ids of distinct units, which are remembered from then on."""
+        digest = xxhash.xxh3_128_digest
+        hashes = np.frombuffer(b"".join(digest(u.encode("utf-8", "surrogatepass")) for u in units), dtype=np.uint64).reshape(-1, 2)
+        low, high = hashes[:, 0], hashes[:, 1]
+        where = np.searchsorted(self.low, low)
+        near = np.minimum(where, max(len(self.low) - 1, 0))
+        same = self.low[near] == low if len(self.low) else np.zeros(len(units), dtype=bool)
+        known = same & (self.high[near] == high) if len(self.low) else same
+        at, size = np.zeros(len(units), dtype=np.int32), np.zeros(len(units), dtype=np.int32)
+        at[known], size[known] = self.at[near[known]], self.size[near[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
+            at[new], size[new] = self._learn([units[k] for k in new])
+            add = new[~same[new]]
+            add = add[np.argsort(low[add])]
+            for name, values in (("high", high), ("at", at), ("size", size), ("low", low)):
+                setattr(self, name, np.insert(getattr(self, name), where[add], values[add]))
+        return at, size
 
     def encode(self, texts: list[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by `end` if there is one, and how many each text has."""
-        if len(self.keys) > PATHS:
+        if len(self.low) > WORDS:
             self.forget()
-        raws = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-        data = np.frombuffer(b"\xff".join([*raws, b""]), dtype=np.uint8)
-        odd = [k for k in self._suspects(data) if _ODD.search(texts[k])]
-        if odd:
-            for k in odd:
-                raws[k] = b""
-            data = np.frombuffer(b"\xff".join([*raws, b""]), dtype=np.uint8)
-        mark = (data == 10) | (data == _STOP)
-        inside = np.concatenate([[False], ~(mark | (data == 32)), [False]])
-        edge = np.flatnonzero(inside[1:] != inside[:-1])
-        start, stop = edge[::2], edge[1::2]
-        later = data[np.maximum(start - 1, 0)] == 32
-        up, down = powers(len(data) + 1)
-        total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_BYTE[data] * up[: len(data)], dtype=np.uint64)])
-        hashes = mix64((total[stop] - total[start]) * down[start] + (2 * (stop - start) + later).astype(np.uint64))
-        key, first, number = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.keys):
-            new = np.flatnonzero(self.keys[np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)] != key)
-        else:
-            new = np.arange(len(key))
-        if len(new):
-            raw, where = data.tobytes(), first[new]
-            spans = zip(start[where].tolist(), stop[where].tolist(), strict=True)
-            self._learn(key[new], [raw[a:b].decode("utf-8", "surrogatepass") for a, b in spans], [" " if x else "" for x in later[where].tolist()])
-        # The units in their order: words, line ends and ends of texts, as numbers of entries of a table of ids.
-        found = np.searchsorted(self.keys, key)
-        more = [np.frombuffer(self.line_end, dtype="<u4"), np.array([] if end is None else [end], dtype="<u4")]
-        flat = np.concatenate([self.pool, *more])
-        places = np.concatenate([self.at[found], [len(self.pool), len(self.pool) + len(more[0])]])
-        size = np.concatenate([self.size[found], [len(more[0]), len(more[1])]])
-        unit = np.zeros(len(data), dtype=np.int64)
-        unit[start] = number + 1
-        unit[mark] = np.where(data[mark] == 10, len(key) + 1, len(key) + 2)
-        place = np.flatnonzero(unit)
-        unit = unit[place] - 1
-        n = size[unit]
-        out = flat[np.repeat(places[unit] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        closes = np.searchsorted(place, np.flatnonzero(data == _STOP))
-        per_text = np.diff(np.concatenate([[0], np.cumsum(n)[closes]])) if len(closes) else np.zeros(0, dtype=np.int64)
-        if odd:
-            parts = np.split(out, np.cumsum(per_text)[:-1])
-            for k, ids in zip(odd, self.bytes_of([texts[k] for k in odd]), strict=True):
-                parts[k] = np.concatenate([np.frombuffer(ids, dtype="<u4"), parts[k]])
-                per_text[k] = len(parts[k])
-            out = np.concatenate(parts)
-        return out, per_text
+        whole: dict[int, np.ndarray] = {}
+        units: list[str] = []
+        count = np.zeros(len(texts), dtype=np.int64)
+        for k, t in enumerate(texts):
+            if not t:
+                continue
+            some = _UNITS.findall(t)
+            if t[0] == " " or "<|" in t or sum(map(len, some)) < len(t):
+                whole[k] = np.frombuffer(self.bytes_of([t])[0], dtype="<u4")
+            else:
+                units += some
+                count[k] = len(some)
+        names = Units()
+        number = np.fromiter(map(names.__getitem__, units), dtype=np.int32, count=len(units))
+        at, size = self._places(list(names))
+        n = size[number]
+        done = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
+        out = self.pool[np.repeat(at[number] - done[:-1], n) + np.arange(done[-1])]
+        of_text = done[np.concatenate([[0], np.cumsum(count)])]
+        last = np.array([] if end is None else [end], dtype="<u4")
+        parts = [x for k in range(len(texts)) for x in (whole.get(k, out[of_text[k] : of_text[k + 1]]), last)]
+        sizes = np.array([len(whole[k]) if k in whole else of_text[k + 1] - of_text[k] for k in range(len(texts))], dtype=np.int64)
+        return np.concatenate([np.zeros(0, dtype="<u4"), *parts]), sizes + len(last)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -196,14 +180,19 @@ def write_tokens(docs: DataFrame, out: str, path: str, end: int | None = END, fi
     files = max(1, -(-size // file_bytes), min(spark.sparkContext.defaultParallelism * 4, size >> 22))
     ordered = docs.repartitionByRange(files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
     with_ids(ordered, path, end).write.options(**ORC).orc(f"{out}/ids")
+    write_index(spark, out)
+
+
+def write_index(spark: SparkSession, out: str) -> None:
+    """file, n_docs, n_ids, min_doc, max_doc and before (ids of all files of smaller doc_ids) of each file of ids."""
     rows = read_rows(spark, out)
     per_file = rows.groupBy("file").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_ids"), F.min("doc_id").alias("min_doc"), F.max("doc_id").alias("max_doc"))
     # One row a file, and files are some MB at least: this order over them is small beside the data.
-    per_file.withColumn("before", F.coalesce(F.sum("n_ids").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).coalesce(1).write.orc(f"{out}/index")
+    per_file.withColumn("before", F.coalesce(F.sum("n_ids").over(Window.orderBy(F.col("min_doc").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).coalesce(1).write.orc(f"{out}/index")
 
 
 def read_rows(spark: SparkSession, out: str) -> DataFrame:
-    """The rows of the files, with the file's name, whose order is that of the ranges; place is the row's number in it."""
+    """The rows of the files, with the file's name; place is the row's number in it."""
     return spark.read.schema(SCHEMA).orc(f"{out}/ids").withColumn("file", F.col("_metadata.file_name"))
 
 

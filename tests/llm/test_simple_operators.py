@@ -75,6 +75,54 @@ def test_token_files_round_trip(spark):
     assert token_files.digests(spark, out).count() == 0
 
 
+def test_token_ids_of_words_that_polynomials_confuse():
+    from tokenizers import Tokenizer
+
+    path = vocabulary(ID_VOCABULARY)
+    t, e = Tokenizer.from_file(path), token_files.Encoder(path)
+    for bits in (1024, 2048):
+        morse = "".join("ab"[bin(k).count("1") % 2] for k in range(bits))
+        texts = [morse, morse.translate(str.maketrans("ab", "ba")), *ODD]
+        flat, n = e.encode(texts, 2)
+        want = [[*t.encode(x or "", add_special_tokens=False).ids, 2] for x in texts]
+        assert n.tolist() == [len(w) for w in want] and flat.tolist() == [i for w in want for i in w]
+
+
+def test_offsets_beyond_100_000_files(spark):
+    """Part numbers of six digits sort before those of five as text; the index must not follow them."""
+    out, first = new_path(spark, "test-tokens"), [(99_999, 10), (100_000, 20)]
+    for part, at in first:
+        rows = spark.createDataFrame([(at + k, k, 2, [7, 2]) for k in range(3)], token_files.SCHEMA).coalesce(1)
+        rows.write.orc(f"{out}/{part}")
+    fs = spark._jvm.org.apache.hadoop.fs.Path(out).getFileSystem(spark._jsc.hadoopConfiguration())
+    path = lambda x: spark._jvm.org.apache.hadoop.fs.Path(x)
+    fs.mkdirs(path(f"{out}/ids"))
+    for part, _ in first:
+        name = next(f.getPath().toString() for f in fs.listStatus(path(f"{out}/{part}")) if f.getPath().getName().startswith("part-"))
+        assert fs.rename(path(name), path(f"{out}/ids/part-{part:05d}-x.orc"))
+    token_files.write_index(spark, out)
+    assert {r.doc_id: r.start for r in token_files.digests(spark, out).collect()} == {10: 0, 11: 2, 12: 4, 20: 6, 21: 8, 22: 10}
+
+
+def test_files_have_indexes_and_lookups_prune(spark):
+    import pyarrow.orc as orc
+
+    out = new_path(spark, "test-tokens")
+    docs = spark.range(0, 40_000, 2).selectExpr("id as doc_id", "concat('text number ', id) as text")
+    token_files.write_tokens(docs, out, vocabulary(ID_VOCABULARY), file_bytes=60_000)
+    found = token_files.lookup(spark, out, [400, 401])
+    assert [r.doc_id for r in found.collect()] == [400]
+    assert "PushedFilters: [In(doc_id" in found._jdf.queryExecution().toString()
+    files = [f[5:] for f in spark.read.orc(f"{out}/ids").inputFiles()]
+    assert len(files) > 2
+    for f in files:
+        meta = orc.ORCFile(f)
+        assert meta.compression == "ZSTD" and meta.nstripes >= 1
+        raw = open(f, "rb").read()
+        # Integers are run-length coded: ids take less room than their four bytes even before compression of blocks.
+        assert meta.content_length < 4 * sum(len(x) for x in meta.read(["ids"]).column(0).to_pylist()) and meta.row_index_stride == 2000 and len(raw) > meta.content_length
+
+
 def brute_stats(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
