@@ -11,7 +11,10 @@ counts (states' first, next and emitting counts) are summed over all training te
 partitions by class. The score of a text is its exact likelihood under the trained model, by the scaled forward
 recursion.
 
-Words are told apart by 64-bit hashes: with 10**8 different words the chance that any two count as one is below 0.001.
+A text of more than LONG tokens is trained in pieces of so many, each of which begins like a text; it is scored whole, by
+segments whose transfer matrices (from each state before to each state after) are found side by side and then composed.
+
+Words are told apart by 64-bit XXH3 hashes: with 10**8 different words the chance that any two count as one is below 0.001.
 
 Defined results: a null text is empty and is the end token alone. A null doc_id counts as training. Repeated rows each
 count and each get their score. Without training texts every token is unseen and scores 0. An empty table gives an empty
@@ -25,13 +28,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, doc_text, stored
-from .hashing import mix64, words_of
+from .hashing import mix64, text_parts
 
-STATES, TOP, SUFFIXES, ROUNDS, BLOCK_BYTES, BATCH = 8, 8192, 4096, 4, 24 << 20, 1 << 19
+STATES, TOP, SUFFIXES, ROUNDS, BLOCK_BYTES, BATCH, LONG, SEGMENT = 8, 8192, 4096, 4, 24 << 20, 1 << 19, 1 << 16, 1 << 10
 UNSEEN, CLASSES = TOP + SUFFIXES, TOP + SUFFIXES + 1
 #: The end token's name among the words' hashes; the strength of the emissions' prior (in tokens a state), and the share
 #: of the base in them however many tokens a state has.
@@ -39,8 +43,34 @@ END, PRIOR, MIXED = 1, 200.0, 0.03
 _TOKENS = [("kind", pa.int32()), ("block", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("ids", pa.binary()), ("local", pa.int32()), ("word", pa.int64()), ("suffix", pa.int32()), ("n", pa.int64())]
 
 
+class Numbers(dict):
+    """Numbers of words, in the order in which they were first seen; 0 is the end token."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = out = len(self)
+        return out
+
+
+def numbered(texts: list[str | None]) -> tuple[list, np.ndarray, np.ndarray]:
+    """Distinct words, the numbers of all tokens of the texts, and where each text's begin and end in them."""
+    names, found, count = Numbers({None: 0}), [np.zeros(0, dtype=np.int32)], np.zeros(len(texts), dtype=np.int64)
+    for owners, raws in text_parts(texts):
+        words: list[bytes] = []
+        for k, raw in zip(owners, raws, strict=True):
+            some = raw.split()
+            count[k] += len(some)
+            words += some
+        found.append(np.fromiter(map(names.__getitem__, words), dtype=np.int32, count=len(words)))
+    at = np.concatenate([[0], np.cumsum(count)])
+    return list(names), np.insert(np.concatenate(found), at[1:], 0), at + np.arange(len(at))
+
+
+def word_hash(word: bytes | None) -> int:
+    return END if word is None else xxhash.xxh3_64_intdigest(word, 20_240_229)
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of kind 0: a document with the block-local numbers (3 bytes each) of its tokens; of kind 1: a block's word."""
+    """Rows of kind 0: a document with the block-local numbers (4 bytes each) of its tokens; of kind 1: a block's word."""
     from pyspark import TaskContext
 
     arrow = pa.schema(_TOKENS)
@@ -53,17 +83,15 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if size < BLOCK_BYTES and k < len(texts) - 1:
                 continue
             some = slice(first, k + 1)
-            words, at, last = words_of(texts[some], ends=True)
-            words, last = np.insert(words, at[1:], END), np.insert(last, at[1:], 0)
-            at = at + np.arange(len(at))
-            name, where, number = np.unique(words, return_index=True, return_inverse=True)
+            names, number, at = numbered(texts[some])
             training = np.repeat(~np.array(held[some], dtype=bool), np.diff(at))
-            n = np.bincount(number[training], minlength=len(name))
-            packed = number.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
-            docs, rows = k + 1 - first, len(name)
+            n = np.bincount(number[training], minlength=len(names))
+            docs, rows = k + 1 - first, len(names)
             null = lambda kind, m: pa.nulls(m, kind)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(docs, np.int32)), pa.array(np.full(docs, block)), pa.array(doc[some], pa.int64()), pa.array(held[some], pa.bool_()), pa.array([packed[3 * a : 3 * b] for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary()), null(pa.int32(), docs), null(pa.int64(), docs), null(pa.int32(), docs), null(pa.int64(), docs)], schema=arrow)
-            suffix = (mix64(last[where].astype(np.uint64)) % np.uint64(SUFFIXES)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(docs, np.int32)), pa.array(np.full(docs, block)), pa.array(doc[some], pa.int64()), pa.array(held[some], pa.bool_()), pa.array([number[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary()), null(pa.int32(), docs), null(pa.int64(), docs), null(pa.int32(), docs), null(pa.int64(), docs)], schema=arrow)
+            last = np.fromiter((int.from_bytes((w or b"")[-3:], "big") for w in names), dtype=np.uint64, count=rows)
+            name = np.fromiter(map(word_hash, names), dtype=np.uint64, count=rows)
+            suffix = (mix64(last) % np.uint64(SUFFIXES)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(rows, np.int32)), pa.array(np.full(rows, block)), null(pa.int64(), rows), null(pa.bool_(), rows), null(pa.binary(), rows), pa.array(np.arange(rows, dtype=np.int32)), pa.array(name.view(np.int64)), pa.array(suffix), pa.array(n)], schema=arrow)
             block, first, size = block + 1, k + 1, 0
 
@@ -104,10 +132,8 @@ def encode(docs: DataFrame) -> Corpus:
         plain = np.log10((c + 0.5) / whole)
         in_class = np.where(c > 0, np.log10(c + 0.5) - log_mass[kind], 0.0)
         raw = [x.as_py() for x in texts["ids"]]
-        wide = np.zeros((sum(map(len, raw)) // 3, 4), dtype=np.uint8)
-        wide[:, :3] = np.frombuffer(b"".join(raw), dtype=np.uint8).reshape(-1, 3)
-        ids = wide.view("<u4").ravel()
-        at = np.concatenate([[0], np.cumsum([len(r) // 3 for r in raw])])
+        ids = np.frombuffer(b"".join(raw), dtype=np.int32)
+        at = np.concatenate([[0], np.cumsum([len(r) // 4 for r in raw])])
         sums = lambda x: np.add.reduceat(x[ids], at[:-1])  # noqa: E731  each text has a token at least
         codes = kind[ids].astype("<u2").tobytes()
         return pa.table({"doc_id": texts["doc_id"], "held_out": texts["held_out"], "n_tokens": np.diff(at), "n_known": sums((c > 0).astype(np.int64)), "base_score": sums(plain), "inner": sums(in_class), "classes": pa.array([codes[2 * a : 2 * b] for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())})
@@ -193,6 +219,27 @@ class Packed:
         return out
 
 
+def long_log_likelihood(m: Model, symbols: np.ndarray, segment: int = SEGMENT) -> float:
+    """Natural logarithm of a long text's likelihood. A segment's matrix holds, for each state before it, the chances of its
+    tokens and of the state after it; after the first tokens' forward recursion the matrices are applied in order."""
+    head = (len(symbols) - 1) % segment + 1
+    now, log = m.start * m.emit[symbols[0]], 0.0
+    for s in symbols[1:head]:
+        log, now = log + np.log(now.sum()), now / now.sum()
+        now = (now @ m.step) * m.emit[s]
+    rest = symbols[head:].reshape(-1, segment)
+    moves = np.broadcast_to(np.eye(len(m.start)), (len(rest), len(m.start), len(m.start)))
+    scale = np.zeros(len(rest))
+    for t in range(segment):
+        moves = (moves @ m.step) * m.emit[rest[:, t]][:, None, :]
+        s = moves.sum(axis=(1, 2))
+        moves, scale = moves / s[:, None, None], scale + np.log(s)
+    for move, s in zip(moves, scale, strict=True):
+        log, now = log + np.log(now.sum()) + s, now / now.sum()
+        now = now @ move
+    return float(log + np.log(now.sum()))
+
+
 def batched(texts: list[np.ndarray], tokens: int = BATCH) -> Iterator[list[int]]:
     """Numbers of the texts in batches of similar lengths and of about so many tokens."""
     order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
@@ -238,7 +285,7 @@ def baum_welch(corpus: Corpus, rounds: int = ROUNDS, states: int = STATES) -> tu
         def count(batches: Iterator[pa.RecordBatch], m: Model = model) -> Iterator[pa.RecordBatch]:
             first, steps, emitted, log = np.zeros(states), np.zeros((states, states)), np.zeros((CLASSES, states)), 0.0
             for batch in batches:
-                texts = _texts(batch.column(0))
+                texts = [t[at : at + LONG] for t in _texts(batch.column(0)) for at in range(0, len(t), LONG)]
                 for some in batched(texts):
                     got = Packed([texts[i] for i in some]).expected(m)
                     first, steps, emitted, log = first + got[0], steps + got[1], emitted + got[2], log + got[3]
@@ -264,8 +311,12 @@ def score(corpus: Corpus, model: Model) -> DataFrame:
     def likelihood(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, log = _texts(batch.column("classes")), np.zeros(batch.num_rows)
-            for some in batched(texts):
-                log[some] = Packed([texts[i] for i in some]).log_likelihoods(model)
+            for k, t in enumerate(texts):
+                if len(t) > LONG:
+                    log[k] = long_log_likelihood(model, t)
+            short = [k for k, t in enumerate(texts) if len(t) <= LONG]
+            for some in batched([texts[k] for k in short]):
+                log[[short[i] for i in some]] = Packed([texts[short[i]] for i in some]).log_likelihoods(model)
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), pa.array(log / np.log(10) + batch.column("inner").to_numpy())], names=[*kept, "score"])
 
     scored = corpus.coded.mapInArrow(likelihood, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")

@@ -65,6 +65,31 @@ def test_forward_and_counts_match_enumeration():
         assert np.allclose(a, b, rtol=1e-4)
 
 
+@pytest.mark.parametrize("n", [1, 7, 8, 9, 64, 100])
+def test_segments_compose(n):
+    r = np.random.default_rng(n)
+    m = hmm.Model(*(x / x.sum(axis=-1, keepdims=True) for x in (r.random(3), r.random((3, 3)))), (lambda e: e / e.sum(axis=0))(r.random((5, 3))))
+    text = r.integers(0, 5, n).astype("<u2")
+    assert hmm.long_log_likelihood(m, text, 8) == pytest.approx(hmm.Packed([text]).log_likelihoods(m)[0], rel=1e-12)
+
+
+def test_long_texts_and_words_that_polynomials_confuse(spark, monkeypatch):
+    monkeypatch.setattr(hmm, "LONG", 300)
+    monkeypatch.setattr(hmm, "SEGMENT", 64)
+    morse = "".join("ab"[bin(k).count("1") % 2] for k in range(2048))
+    other = morse.translate(str.maketrans("ab", "ba"))
+    train, held = ([i for i in range(60) if (zlib.crc32(str(i).encode()) % 5 == 1) == h] for h in (False, True))
+    words = [f"w{k % 37}" for k in range(2000)]
+    docs = spark.createDataFrame([(train[0], " ".join(words)), (train[1], f"{morse} a"), (held[0], other), (held[1], " ".join(words[5:1500])), (held[2], "w1 w2")], "doc_id long, text string")
+    corpus = hmm.encode(docs)
+    model, _ = hmm.baum_welch(corpus, 2)
+    got = {r.doc_id: r for r in hmm.score(corpus, model).collect()}
+    assert got[held[0]].n_known == 1 and got[train[1]].n_known == 3
+    monkeypatch.setattr(hmm, "LONG", 10**6)
+    for d, r in {x.doc_id: x for x in hmm.score(corpus, model).collect()}.items():
+        assert got[d].score == pytest.approx(r.score, rel=1e-9)
+
+
 def test_empty_and_untrained(spark):
     assert hmm.score_documents(spark.createDataFrame([], "doc_id long, text string"), 1).count() == 0
     d = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 5 == 1)
