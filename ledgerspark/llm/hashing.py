@@ -12,7 +12,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _CUT = re.compile(rb"[\t-\r ]")
 #: Bytes whose words are held at once; distinct words that a worker remembers.
-PIECE, WORDS = 1 << 20, 300_000
+PIECE, WORDS = 1 << 20, 150_000
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import doc_text, map_arrow
 
-END, WORDS, PIECES, BATCH_CHARS, SCHEMA = 2, 2_000_000, 250_000, 1 << 20, "doc_id long, place long, n_tokens long, ids array<int>"
+END, WORDS, PIECES, BATCH_CHARS, SCHEMA = 2, 1_000_000, 150_000, 1 << 20, "doc_id long, place long, n_tokens long, ids array<int>"
 #: Bytes of text that a file should have at most, on the average.
 FILE_BYTES = 64 << 20
 ORC = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "2000", "orc.stripe.size": str(8 << 20), "orc.dictionary.key.threshold": "0"}
