@@ -96,6 +96,6 @@ def name_variants(c: ColumnLike) -> Column:
     """The names under which a company is mentioned: with its legal forms taken off one by one, or its final one."""
     prefix = "^(?:" + "|".join(sorted(LEGAL_PREFIXES, key=len, reverse=True)) + ") (?=.)"
     whole = compact(c)
-    stripped = F.aggregate(F.sequence(F.lit(1), F.lit(6)), F.array(whole), lambda acc, _: F.concat(acc, F.array(F.trim(F.regexp_replace(F.element_at(acc, -1), prefix, "")))))
+    stripped = F.aggregate(F.split(whole, " "), F.array(whole), lambda acc, _: F.concat(acc, F.array(F.trim(F.regexp_replace(F.element_at(acc, -1), prefix, "")))))
     variants = F.array_distinct(F.concat(stripped, F.array(F.trim(F.regexp_replace(whole, " (?:ctcp|cty)$", "")))))
     return F.filter(variants, lambda v: (F.length(v) >= 4) & ~v.isin(GENERIC_NAMES))

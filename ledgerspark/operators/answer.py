@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import re
+import threading
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -63,48 +66,82 @@ def compact_plan(plan: DataFrame, query_key: str, company: str, most: int = 6) -
 # Programs
 
 
-#: Functions that a program may call.
-ALLOWED = {"coalesce", "round", "min_by", "max_by", "first", "sum", "avg", "min", "max", "abs", "contains", "lower", "nullif", "vn_num", "try_cast", "cast", "count", "any_value", "greatest", "least"}
-_KEYWORDS = {"select", "from", "where", "and", "or", "not", "in", "as", "is", "null", "like", "case", "when", "then", "else", "end", "join", "on", "left", "inner", "cross", "double", "string", "int", "between", "by", "group", "order", "distinct", "desc", "asc", "true", "false"}
+#: Functions that a program may call, and what its parsed plan may consist of.
+ALLOWED = {"coalesce", "round", "min_by", "max_by", "first", "sum", "avg", "min", "max", "abs", "contains", "lower", "nullif", "vn_num", "try_cast", "count", "any_value", "greatest", "least", "between"}
+PLANS = {"Project", "Filter", "Aggregate", "UnresolvedHaving", "Join", "SubqueryAlias", "UnresolvedRelation", "UnresolvedSubqueryColumnAliases", "OneRowRelation", "Distinct", "Sort", "SortOrder", "ScalarSubquery"}
+EXPRESSIONS = {
+    "Alias", "UnresolvedAlias", "UnresolvedAttribute", "UnresolvedStar", "UnresolvedFunction", "Literal", "Cast", "EqualTo", "EqualNullSafe", "LessThan", "LessThanOrEqual", "GreaterThan", "GreaterThanOrEqual", "And", "Or", "Not",
+    "IsNull", "IsNotNull", "In", "Like", "Between", "CaseWhen", "Coalesce", "Add", "Subtract", "Multiply", "Divide", "Remainder", "UnaryMinus", "UnaryPositive",
+}
 
 
-def check_program(sql: str, views: set[str], most_chars: int = 4000, most_words: int = 400) -> str | None:
-    """Why a program may not run, or None: one SELECT, over the given views, with known functions, of bounded size."""
+def _parsed(sql: str) -> list[dict]:
+    """The nodes of the plan that Spark's parser makes of a statement, with those of subqueries."""
+    found: list[dict] = []
+
+    def walk(x: object) -> None:
+        if isinstance(x, dict):
+            found.extend([x] if "class" in x else [])
+            for v in x.values():
+                walk(v)
+        elif isinstance(x, list):
+            for v in x:
+                walk(v)
+
+    walk(json.loads(SparkSession.active()._jsparkSession.sessionState().sqlParser().parsePlan(sql).toJSON()))
+    return found
+
+
+def check_program(sql: str, views: set[str], most_chars: int = 4000, most_nodes: int = 400) -> str | None:
+    """Why a program may not run, or None: one query over the given views, with known functions, of bounded size. It is
+    judged by the plan that Spark's parser makes of it, where every relation, function and kind of node is looked at."""
     if len(sql) > most_chars:
         return "too long"
-    body = re.sub(r"'(?:[^']|'')*'", "''", sql).strip()
-    if ";" in body or "--" in body or "/*" in body or "`" in body:
+    if re.search(r"--|/\*|`|;", re.sub(r"'(?:[^'\\]|''|\\.)*'", "''", sql)):
         return "one plain statement only"
-    if not re.match(r"(?i)select\b", body):
-        return "SELECT only"
-    words = re.findall(r"[A-Za-z_]\w*(?=\s*\()|[A-Za-z_]\w*", body)
-    if len(words) > most_words:
+    try:
+        nodes = _parsed(sql)
+    except Exception as e:  # what does not parse is refused
+        return f"not one statement: {str(e).strip().splitlines()[0][:200]}"
+    if len(nodes) > most_nodes:
         return "too many parts"
-    if bad := next((w for w in re.findall(r"([A-Za-z_]\w*)\s*\(", body) if w.lower() not in ALLOWED | _KEYWORDS), None):
-        return f"function {bad}"
-    if bad := next((w for w in re.findall(r"(?i)\b(?:from|join)\s+([^\s(),]+)", body) if w not in views), None):
-        return f"relation {bad}"
-    if re.search(r"(?i)\bfrom\s+\w+(?:\s+(?:as\s+)?(?!where\b|group\b|order\b|join\b|left\b|inner\b|cross\b|on\b)\w+)?\s*,", body):
-        return "relation list"
+    for node in nodes:
+        kind = node["class"].split(".")[-1].rstrip("$")
+        names = [x.strip().lower() for x in str(node.get("multipartIdentifier" if kind == "UnresolvedRelation" else "nameParts", "")).strip("[]").split(",")]
+        if kind not in PLANS | EXPRESSIONS:
+            return f"kind {kind}"
+        if kind == "UnresolvedRelation" and (len(names) != 1 or names[0] not in views):
+            return f"relation {'.'.join(names)}"
+        if kind == "UnresolvedFunction" and (len(names) != 1 or names[0] not in ALLOWED):
+            return f"function {'.'.join(names)}"
     return None
 
 
-def run_program(spark: SparkSession, sql: str, frames: dict[str, DataFrame]) -> dict:
-    """Runs a checked program over frames named df1, df2, ...: ok, result (a number or None) and error."""
+def run_program(spark: SparkSession, sql: str, frames: dict[str, DataFrame], seconds: float = 60.0) -> dict:
+    """Runs a checked program over frames named df1, df2, ...: ok, result (a number or None) and error. It has a session of
+    its own, so that programs that run at once don't see each other's frames, and is cancelled after so many seconds."""
     if error := check_program(sql, set(frames)):
         return {"ok": False, "result": None, "error": error}
+    own, group = spark.newSession(), uuid.uuid4().hex
+    shared = {name: f"frame_{group}_{k}" for k, name in enumerate(frames)}
     for name, frame in frames.items():
-        frame.createOrReplaceTempView(name)
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION vn_num(s STRING) RETURNS DOUBLE RETURN try_cast(replace(replace(s, '.', ''), ',', '.') AS DOUBLE)")
+        frame.createOrReplaceGlobalTempView(shared[name])
+        own.table(f"global_temp.{shared[name]}").createOrReplaceTempView(name)
+    own.sql("CREATE OR REPLACE TEMPORARY FUNCTION vn_num(s STRING) RETURNS DOUBLE RETURN try_cast(replace(replace(s, '.', ''), ',', '.') AS DOUBLE)")
+    spark.sparkContext.setJobGroup(group, "program", True)
+    timer = threading.Timer(seconds, spark.sparkContext.cancelJobGroup, [group])
+    timer.start()
     try:
-        rows = spark.sql(sql).limit(2).collect()
+        rows = own.sql(sql).limit(2).collect()
         value = rows[0][0] if len(rows) == 1 and len(rows[0]) == 1 else None
         return {"ok": value is not None, "result": None if value is None else round(float(value), 2), "error": None if value is not None else "not one number"}
     except Exception as e:  # errors of a program are its result
         return {"ok": False, "result": None, "error": str(e).splitlines()[0][:300]}
     finally:
-        for name in frames:
-            spark.catalog.dropTempView(name)
+        timer.cancel()
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for name in shared.values():
+            spark.catalog.dropGlobalTempView(name)
 
 
 def lookup_program(variable: str, year: int, unit_factor: float, code: str | None = None, label: str | None = None) -> str:

@@ -67,8 +67,9 @@ class _Rows(HTMLParser):
             self._close()
             if not self.rows:
                 self.rows.append([])
-            number = lambda k: int(v) if (v := dict(attrs).get(k) or "").isdigit() and 0 < int(v) <= 1000 else 1
-            self.said, self.span = [], (number("colspan"), number("rowspan"))
+            # Larger spans are clamped, to the bounds that HTML has.
+            number = lambda k, most: min(max(int(v), 1), most) if (v := dict(attrs).get(k) or "").isascii() and v.isdigit() else 1
+            self.said, self.span = [], (number("colspan", 1000), number("rowspan", 65534))
 
     def handle_endtag(self, tag: str) -> None:
         if tag in ("td", "th", "tr", "table"):

@@ -11,6 +11,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.storage import tier
+
 
 def last_records(records: DataFrame, key: str, order: str) -> DataFrame:
     """The last record of each key."""
@@ -59,13 +61,21 @@ def histogram(df: DataFrame, bucket: Column, names: list[str]) -> DataFrame:
 
 
 def latency(df: DataFrame, value: str) -> DataFrame:
-    """Upper median and 95th percentile, as elements of the sorted values: floor(n / 2) and floor(0.95 n), from 0. By
-    ranks over range partitions, so no task or array holds all values."""
-    n = df.filter(F.col(value).isNotNull()).count()
+    """Upper median and 95th percentile, as elements of the sorted values: floor(n / 2) and floor(0.95 n), from 0. Values are
+    written in sorted files, one for each range; counts of the files say which row of which file has a rank, so no task or
+    array holds all values."""
+    ordered = df.select(F.col(value).cast("double").alias("v")).filter("v is not null")
+    rows = tier(ordered.repartitionByRange("v").sortWithinPartitions("v"), "latency").select("v", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at"))
+    files = rows.groupBy("file").agg(F.count("*").alias("n"), F.min("v").alias("least")).orderBy("least").collect()  # a row for each range
+    n, before, wanted = sum(f.n for f in files), 0, {}
+    for f in files:
+        for name, k in (("median", n // 2), ("p95", min(95 * n // 100, n - 1))):
+            if before <= k < before + f.n:
+                wanted[name] = (F.col("file") == f.file) & (F.col("at") == k - before)
+        before += f.n
     if not n:
         return df.sparkSession.createDataFrame([(None, None)], "median double, p95 double")
-    at = lambda k: F.expr(f"percentile_disc({(k + 1) / n!r}) within group (order by {value})")
-    return df.agg(at(n // 2).cast("double").alias("median"), at(min(int(0.95 * n), n - 1)).cast("double").alias("p95"))
+    return rows.agg(*(F.max(F.when(wanted[name], F.col("v"))).alias(name) for name in ("median", "p95")))
 
 
 def violations(df: DataFrame, rules: dict[str, Column]) -> DataFrame:

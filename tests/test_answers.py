@@ -30,11 +30,13 @@ def test_scores(spark):
     assert [round(r[0], 4) for r in df.select(answer.label_score(F.col("label"), F.col("metric"), F.lit(True))).collect()] == [0.95, 0.6, 0.0]
 
 
-DENIED = ["select 1; select 2", "drop table df1", "select java_method('a', 'b') from df1", "select reflect('a', 'b')", "select * from parquet.`/etc`", "select * from other", "select value from df1 -- x", "insert into df1 values (1)", "select value from df1 join secret on true", "select input_file_name() from df1", "select value from df1, other where 1 = 1"]
+DENIED = ["select 1; select 2", "drop table df1", "select java_method('a', 'b') from df1", "select reflect('a', 'b')", "select * from parquet.`/etc`", "select * from other", "select value from df1 -- x", "insert into df1 values (1)", "select value from df1 join secret on true", "select input_file_name() from df1", "select value from df1, other where 1 = 1",
+    "select value from df1 where value > 5 union all table secret", "select y.value from (select * from df1) x, secret y", "select (select max(value) from secret) from df1", "with a as (select 1) select * from a", "select value from df1 where exists (select 1 from secret)",
+    "select value from df1 where value in (select value from secret)", "select sum(value) over () from df1", "table secret", "values (1)", "select * from range(5)", "select explode(array(1)) from df1", "select db.round(1) from df1", "set x = 1", "select system.builtin.java_method('a', 'b')"]
 
 
 @pytest.mark.parametrize("sql", DENIED)
-def test_denied_programs(sql):
+def test_denied_programs(spark, sql):
     assert answer.check_program(sql, {"df1"}) is not None
 
 
@@ -46,6 +48,22 @@ def test_programs(spark):
     assert answer.run_program(spark, "select vn_num('1.234,5') as result from df1 where ord = 1", {"df1": df})["result"] == 1234.5
     assert not answer.run_program(spark, "select nothing as result from df1", {"df1": df})["ok"]
     assert answer.check_program("select " + "1 + " * 3000 + "1", set()) == "too long"
+    for sql, want in {"select sum(a.value) from df1 a join df1 b on a.ord = b.ord where a.period between 2000 and 2020 and a.code is not null and a.code = ''": 208253201298.0, "select max(v) from (select max(value) v from df1 group by code having count(*) > 0) t": 208253201298.0, "select case when -value < 0 then cast(ord as double) else 0 end from df1 where item like 'kh%' or item in ('x')": 2.0, "select (select max(ord) from df1) + 1 from df1 where ord = 1": 3.0}.items():
+        assert answer.run_program(spark, sql, {"df1": df}) == {"ok": True, "result": want, "error": None}
+    assert "global_temp" not in str([t.name for t in spark.catalog.listTables("global_temp")]) and not spark.catalog.listTables("global_temp")
+
+
+def test_programs_end_in_time(spark):
+    df = spark.range(200_000).selectExpr("id as ord", "cast(id as double) as value", "1 as one")
+    got = answer.run_program(spark, "select sum(a.value * b.value) from df1 a join df1 b on a.one = b.one", {"df1": df}, seconds=2)
+    assert not got["ok"] and got["result"] is None
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 29, 52, 56, 58, 60, 87])
+def test_latency_is_exact(spark, n):
+    got = package.latency(spark.range(n).selectExpr("cast((id * 37) % 89 as double) as t").repartition(5), "t").first()
+    values = sorted(float(i * 37 % 89) for i in range(n))
+    assert tuple(got) == ((values[n // 2], values[95 * n // 100]) if n else (None, None))
 
 
 def test_fusion_and_rerank(spark):
