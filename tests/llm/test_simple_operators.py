@@ -43,13 +43,57 @@ def test_token_counts_match_the_tokenizer(spark):
     assert token_counts.token_counts(empty(spark), path).count() == 0
 
 
-@pytest.mark.parametrize("chunk", [1, 2, 7, 64])
+@pytest.mark.parametrize("chunk", [1, 2, 7, 64, 10**6])
 def test_state_maps_compose(chunk):
+    from tokenizers import Tokenizer
+
     path = vocabulary(COUNT_VOCABULARY)
-    t = token_counts.transducer(path)
+    t, library = token_counts.transducer(path), Tokenizer.from_file(path)
     for x in ODD:
         raw = (x or "").encode()[:400].decode(errors="ignore").encode()
-        assert t.count(raw, chunk) == len(t.tokenizer.encode(raw.decode(), add_special_tokens=False).ids), x
+        assert t.count(raw, chunk) == len(library.encode(raw.decode(), add_special_tokens=False).ids), x
+
+
+def test_transducer_on_random_texts_and_small_tables(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path, r = vocabulary(COUNT_VOCABULARY), random.Random(8)
+    library, t = Tokenizer.from_file(path), token_counts.Transducer(path)
+    pool = [*"abcdeinorstABÉé'’ ,.-_059üßñΣσİ\u0301\x1c\x85\n\t漢語한😀​<|>²½अिع", "the", "ing", "'ll", "<|endoftext|>"]
+    texts = ["".join(r.choice(pool) for _ in range(r.randrange(1, 60))) for _ in range(600)]
+    texts += ["".join(r.choice("abeinrst") for _ in range(r.randrange(1, 200))) for _ in range(300)]
+    want = [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert t.counts(texts).tolist() == want
+    monkeypatch.setattr(token_counts, "TRANSITIONS", 500)
+    assert [int(n) for k in range(0, len(texts), 50) for n in t.counts(texts[k : k + 50])] == want
+
+
+def test_pairs_follow_as_the_merges_say():
+    """may_follow() against merging the text of both tokens in the order of ranks."""
+    t, r = token_counts.transducer(vocabulary(COUNT_VOCABULARY)), random.Random(4)
+    rank = {(a, b): k for k, (a, b) in enumerate(t.whole)}
+
+    def merged(symbols):
+        parts = [t.id[c] for c in symbols]
+        while len(parts) > 1:
+            best, at = min((rank.get(p, len(rank)), k) for k, p in enumerate(zip(parts, parts[1:], strict=False)))
+            if best == len(rank):
+                break
+            parts[at : at + 2] = [t.whole[parts[at], parts[at + 1]]]
+        return parts
+
+    open_ = [x for x in t.id if ord(x[-1]) < token_counts.END]
+    seen = set()
+    for _ in range(3000):
+        a, b = r.choice(open_), r.choice(list(t.id)[: 512 + r.choice([50, 500, 5000])])
+        if r.random() < 0.5:  # cut a token in two, which are often not its encoding
+            x = r.choice([x for x in r.sample(open_, 20) if len(x) > 1])
+            k = r.randrange(1, len(x))
+            a, b = (x[:k], x[k:]) if x[:k] in t.id and x[k:] in t.id else (a, b)
+        want = merged(a + b) == [t.id[a], t.id[b]]
+        assert t.may_follow(a, b) == want
+        seen.add(want)
+    assert seen == {True, False}
 
 
 def test_token_files_round_trip(spark):
