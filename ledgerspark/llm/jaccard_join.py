@@ -6,7 +6,7 @@
    lie together; a level is kept as a row per node with the prefix's hash, and the joins on it sort by that.
 3. Shortening: a node's prefixes begin with the whole label and lose minima until a pair of the least similarity that this
    node can have with any other set (from the sizes that reach the threshold) meets in some trie with the target recall.
-   There the node stops: sets of 6 or 7 n-grams stop earlier than others, those of 3 and fewer match none but themselves.
+   There the node stops: sets of 6 or 7 n-grams stop at longer prefixes than others, those of 3 and fewer match none but themselves.
    The levels in between add no pairs, as a run of a longer prefix lies inside one of a shorter prefix.
 4. Cells: nodes that meet by whole labels are gathered (contracted components of a star of edges for each run) and cut into
    cells of about BLOCK nodes and GRAMS n-grams at most. Nodes gathered together are compared cell by cell; of other pairs
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import discard, doc_text, map_arrow, stored
 from .hashing import mix64, shingles, words_of
 
-N, THRESHOLD, TREES, LABEL, RECALL, BLOCK, GRAMS = 5, 0.8, 32, 8, 0.999, 256, 1 << 20
+N, THRESHOLD, TREES, LABEL, RECALL, BLOCK, GRAMS = 5, 0.8, 32, 8, 0.9999, 256, 1 << 20
 _A = np.random.default_rng(7).integers(0, 2**32, TREES * LABEL, dtype=np.uint32) | np.uint32(1)
 _B = np.random.default_rng(8).integers(0, 2**32, TREES * LABEL, dtype=np.uint32)
 #: A set's size from which on some other size allows almost any similarity.
