@@ -29,9 +29,11 @@ _MARKED, _PLAIN = _plain_letters()
 
 
 def normalize_label(c: ColumnLike) -> Column:
-    """Lower case without marks, white space collapsed; null becomes empty."""
-    lowered = F.regexp_replace(F.lower(F.coalesce(col(c), F.lit(""))), r"\p{Mn}", "")
-    return F.trim(F.regexp_replace(F.translate(lowered, _MARKED, _PLAIN), r"(?U)\s+", " "))
+    """Lower case without marks, white space collapsed; null becomes empty. Plain texts skip the search for marks."""
+    text = F.coalesce(col(c), F.lit(""))
+    unmarked = F.translate(F.regexp_replace(F.lower(text), r"\p{Mn}", ""), _MARKED, _PLAIN)
+    lowered = F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(unmarked)
+    return F.trim(F.regexp_replace(lowered, r"(?U)\s+", " "))
 
 
 def compact(c: ColumnLike) -> Column:

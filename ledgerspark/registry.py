@@ -24,7 +24,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from .queries import answers, figures, relational, reports, scalars, search  # noqa: F401
+    from .queries import answers, figures, relational, reports, scalars, search, solving  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
