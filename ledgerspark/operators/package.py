@@ -78,6 +78,23 @@ def latency(df: DataFrame, value: str) -> DataFrame:
     return rows.agg(*(F.max(F.when(wanted[name], F.col("v"))).alias(name) for name in ("median", "p95")))
 
 
+def run_metrics(questions: DataFrame) -> DataFrame:
+    """One row: n, coverage, ticker_rate, year_rate, mean_facts of questions with n_results, n_tickers, n_years, n_facts."""
+    share = lambda c: F.coalesce(F.round(F.avg((F.coalesce(F.col(c), F.lit(0)) > 0).cast("double")), 6), F.lit(0.0))
+    return questions.agg(F.count("*").alias("n"), share("n_results").alias("coverage"), share("n_tickers").alias("ticker_rate"), share("n_years").alias("year_rate"), F.coalesce(F.round(F.avg("n_facts"), 6), F.lit(0.0)).alias("mean_facts"))
+
+
+def sample_records(records: DataFrame, n: int = 100, key: str = "id") -> DataFrame:
+    """At most n records, those with another answer than 0 first, then by a hash of the key, so that a run can be repeated."""
+    return records.orderBy(F.coalesce(F.col("answer") == 0, F.lit(True)), F.md5(F.col(key).cast("string")), key).limit(n)
+
+
+def table_counts(reports: DataFrame, kind: str, text: str) -> DataFrame:
+    """kind, n_reports and n_tables: how many tables the texts of each kind open."""
+    tables = F.size(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit("(?i)<table\\b"), F.lit(0)))
+    return reports.select(F.col(kind), tables.alias("t")).groupBy(kind).agg(F.count("*").alias("n_reports"), F.sum("t").cast("long").alias("n_tables"))
+
+
 def violations(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """rule, n: how many rows break each rule, in one pass."""
     counts = df.agg(*(F.count_if(~F.coalesce(ok, F.lit(False))).alias(name) for name, ok in rules.items()))

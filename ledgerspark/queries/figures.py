@@ -73,3 +73,42 @@ def format_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def table_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("R"), F.col("o_custkey").cast("string")).alias("r"), (F.col("o_orderkey") % 7).alias("t"), (F.col("o_orderkey") % 3).alias("l"))
     return rows.select("o_orderkey", package.table_reference("r", "t", "l").alias("ref"))
+
+
+@query("""WITH n AS (SELECT o_custkey AS k, count(*) AS r, count(*) FILTER (WHERE o_orderstatus = 'F') AS t, count(*) FILTER (WHERE o_orderstatus = 'P') AS y FROM orders GROUP BY 1)
+SELECT count(*) AS n, round(avg((coalesce(r, 0) > 0)::INTEGER), 6) AS coverage, round(avg((coalesce(t, 0) > 0)::INTEGER), 6) AS ticker_rate, round(avg((coalesce(y, 0) > 0)::INTEGER), 6) AS year_rate, round(avg(coalesce(r, 0)), 6) AS mean_facts FROM customer LEFT JOIN n ON k = c_custkey""")
+def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates over customers as questions, with their orders as results."""
+    of = lambda s: F.count_if(F.col("o_orderstatus") == s)
+    counts = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n_results"), of("F").alias("n_tickers"), of("P").alias("n_years"))
+    joined = table(spark, sf_dir, "customer").join(counts, "c_custkey", "left")
+    return package.run_metrics(joined.withColumn("n_facts", F.coalesce("n_results", F.lit(0))))
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'P' THEN o_totalprice ELSE 0 END AS answer FROM orders ORDER BY o_orderstatus <> 'P', md5(o_orderkey::VARCHAR), o_orderkey LIMIT 100")
+def record_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hundred records, those with an answer first."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "P", F.col("o_totalprice")).otherwise(0.0).alias("answer"))
+    return package.sample_records(rows)
+
+
+@query("SELECT page_id % 7 AS kind, count(*) AS n_reports, sum(len(regexp_extract_all(coalesce(html, ''), '(?i)<table\\b')))::BIGINT AS n_tables FROM pages GROUP BY 1")
+def page_table_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select((F.col("page_id") % 7).alias("kind"), "html")
+    return package.table_counts(pages, "kind", "html")
+
+
+@query("SELECT p_partkey, lower(split_part(p_name, ' ', 1)) || ' ' || lower(p_type) AS metric, p_retailprice + 1000 AS number, [p_partkey, p_size]::INTEGER[]::VARCHAR AS ids, left('B' || chr(10) || p_name, 9) AS chunk FROM part WHERE len(split_part(p_name, ' ', 1)) >= 3 AND NOT contains(p_type, ' ')")
+def small_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Question tokens, numbers of programs, lists of numbers and chunks of search texts."""
+    from ..functions import numeric, text
+    from ..operators import grid, retrieval
+
+    first = F.element_at(F.split("p_name", " "), 1)
+    part = table(spark, sf_dir, "part").filter((F.length(first) >= 3) & ~F.contains("p_type", F.lit(" ")))
+    ids = F.concat(F.lit("["), F.col("p_partkey").cast("string"), F.lit(", "), F.col("p_size").cast("string"), F.lit("]"))
+    question = F.concat(F.lit("What is 2020 of "), first, F.lit(" "), F.col("p_type"))
+    metric = text.metric_tokens(question, ["what"])
+    number = numeric.to_number(F.format_number(F.col("p_retailprice") + 1000, 2))
+    chunk = text.truncate(retrieval.chunk_text([F.lit("B"), F.lit(" "), F.lit(None).cast("string"), F.col("p_name")], 50), 9)
+    return part.select("p_partkey", F.array_join(metric, " ").alias("metric"), number.alias("number"), grid.int_list(ids).cast("string").alias("ids"), chunk.alias("chunk"))

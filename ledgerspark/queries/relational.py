@@ -15,11 +15,12 @@ s AS (SELECT *, sum(CASE WHEN event_type = 'error' OR before = event_type THEN 0
 SELECT user_id, island::BIGINT AS island, event_type, count(*)::BIGINT AS n FROM s WHERE event_type <> 'error' GROUP BY ALL""")
 def fragment_sessionise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Consecutive events of one type are one fragment; an error breaks it."""
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
-    starts = F.when((F.col("event_type") == "error") | F.coalesce(F.lag("event_type").over(order) == F.col("event_type"), F.lit(False)), 0).otherwise(1)
-    e = e.withColumn("new", starts).withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return e.filter("event_type <> 'error'").groupBy("user_id", "island", "event_type").agg(F.count("*").alias("n"))
+    layout = F.struct(F.array(F.lit(1)).alias("period_cols"), F.lit(0).alias("code_col"), F.lit(0).alias("label_col"))
+    kind = F.when(F.col("event_type") != "error", F.col("event_type"))
+    tables = table(spark, sf_dir, "events").select(F.col("user_id").alias("report_id"), F.struct("ts", "event_id").alias("table_no"), kind.alias("statement"), layout.alias("layout"))
+    counts = facts.fragments(tables).groupBy("report_id", "asset", "statement").agg(F.count("*").alias("n"))
+    island = F.row_number().over(Window.partitionBy("report_id").orderBy("asset")).cast("long")
+    return counts.select(F.col("report_id").alias("user_id"), island.alias("island"), F.col("statement").alias("event_type"), "n")
 
 
 @query("SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS carried FROM events")
@@ -46,9 +47,12 @@ def unpivot_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH s AS (SELECT l_orderkey, round(sum(l_extendedprice), 2) AS total FROM lineitem GROUP BY l_orderkey) SELECT o_orderkey, round(o_totalprice, 2) AS stated, total FROM orders JOIN s ON o_orderkey = l_orderkey WHERE abs(o_totalprice - total) > 1")
 def cross_foot_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    total = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.round(F.sum("l_extendedprice"), 2).alias("total"))
-    joined = table(spark, sf_dir, "orders").join(total, F.col("o_orderkey") == F.col("l_orderkey"))
-    return joined.filter(F.abs(F.col("o_totalprice") - F.col("total")) > 1).select("o_orderkey", F.round("o_totalprice", 2).alias("stated"), "total")
+    """Two totals of a key, stated and summed, as codes of one statement."""
+    row = lambda key, code, value: [F.col(key).alias("report_id"), F.lit("balance_sheet").alias("statement"), F.lit(code).alias("item_code"), F.lit("all").alias("period_key"), F.lit(1).alias("ord"), value.alias("value")]
+    stated = table(spark, sf_dir, "orders").select(*row("o_orderkey", "270", F.col("o_totalprice")))
+    summed = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.round(F.sum("l_extendedprice"), 2).alias("total")).select(*row("l_orderkey", "440", F.col("total")))
+    out = facts.cross_foot(stated.unionByName(summed))
+    return out.select(F.col("report_id").alias("o_orderkey"), F.round("left_total", 2).alias("stated"), F.col("right_total").alias("total"))
 
 
 @query("SELECT p_type, string_agg(p_brand, '|' ORDER BY o) AS labels FROM (SELECT p_type, p_brand, min(p_partkey) AS o FROM part GROUP BY ALL) GROUP BY p_type")
@@ -59,16 +63,18 @@ def ordered_distinct_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderkey, bool_or(o_orderstatus = 'O') OVER (PARTITION BY o_custkey) AS has_open, bool_or(o_orderstatus = 'F') OVER (PARTITION BY o_custkey) AS has_final FROM orders")
 def flags_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    by = Window.partitionBy("o_custkey")
-    has = lambda s: F.max(F.col("o_orderstatus") == s).over(by)
-    return table(spark, sf_dir, "orders").select("o_orderkey", has("O").alias("has_open"), has("F").alias("has_final"))
+    """Whether a key has rows of either kind, as report types of a company."""
+    kind = F.when(F.col("o_orderstatus") == "O", "consolidated").when(F.col("o_orderstatus") == "F", "separate").otherwise("aggregated")
+    reports = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("report_id"), F.col("o_custkey").alias("ticker"), F.year("o_orderdate").alias("year"), kind.alias("report_type"))
+    stocks = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ticker"), F.col("c_name").alias("company_name"))
+    return facts.documents(reports, stocks).select(F.col("report_id").alias("o_orderkey"), F.col("has_consolidated").alias("has_open"), F.col("has_separate").alias("has_final"))
 
 
 @query("SELECT o_orderkey AS key, o_totalprice AS total FROM orders WHERE o_custkey = 7 AND o_orderstatus IN ('O', 'F') AND o_totalprice > 1000")
 def facts_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conditions that reach the scan."""
-    rows = table(spark, sf_dir, "orders").filter((F.col("o_custkey") == 7) & F.col("o_orderstatus").isin("O", "F") & (F.col("o_totalprice") > 1000))
-    return rows.select(F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("total"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_custkey").alias("ticker"), F.col("o_orderstatus").alias("year"), F.col("o_totalprice").alias("total"))
+    return facts.filter_facts(rows, 7, ["O", "F"]).filter("total > 1000").select("key", "total")
 
 
 _NAMES = "regexp_replace(lower(n_name), '[^a-z0-9]+', ' ', 'g')"
@@ -104,3 +110,15 @@ def gap_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     have = table(spark, sf_dir, "orders").join(c, F.col("o_custkey") == F.col("k")).select("k", "n").distinct()
     nations = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("n")).distinct()
     return gaps(c, have, c.join(nations, "n", "left_semi"), ["k", "n"]).select(F.col("k").alias("c_custkey"))
+
+
+@query("""SELECT c_custkey AS id, p AS name FROM customer JOIN (SELECT DISTINCT c_nationkey, o_orderpriority AS p FROM orders JOIN customer ON o_custkey = c_custkey) USING (c_nationkey)
+EXCEPT SELECT o_custkey, o_orderpriority FROM orders""")
+def statement_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds of orders that occur in a customer's nation, but not for the customer."""
+    from ..operators.answer import gaps
+
+    people = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), "c_nationkey")
+    have = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderpriority").alias("name")).distinct()
+    needed = people.join(people.join(have, "id").select("c_nationkey", "name").distinct(), "c_nationkey")
+    return gaps(needed, have, needed, ["id", "name"])
