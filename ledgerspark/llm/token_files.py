@@ -14,108 +14,141 @@ doc_id and text are read.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import doc_text, map_arrow
 
-END, WORDS, PIECES, BATCH_CHARS, SCHEMA = 2, 1_000_000, 150_000, 1 << 20, "doc_id long, place long, n_tokens long, ids array<int>"
+END, WORDS, PIECES, BATCH_CHARS, SCHEMA = 2, 300_000, 150_000, 1 << 20, "doc_id long, place long, n_tokens long, ids array<int>"
 #: Bytes of text that a file should have at most, on the average.
 FILE_BYTES = 64 << 20
 ORC = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "2000", "orc.stripe.size": str(8 << 20), "orc.dictionary.key.threshold": "0"}
-#: A text's units: words, with the space before them, and line ends between words. Texts with other white space, or with
-#: special strings, are not covered by units and go to the tokenizer whole.
-_UNITS = re.compile(r" ?\S+|\n(?=\S|\Z)")
+#: Added strings of the tokenizer begin with this; texts with it go to the tokenizer whole.
+SPECIAL = "<|"
+
+
+def units_of(text: str) -> list[str]:
+    """A text's parts between spaces and before line ends, as keys. A part that begins with a line end stands for itself,
+    one that begins with a space (the text's first, and a line end as its last) for what follows the space, and every
+    other one for itself after a space."""
+    out = text.replace("\n", " \n").split(" ")
+    out[0] = " " + out[0]
+    if out[-1] == "\n":
+        out[-1] = " \n"
+    return out
+
+
+def unit_text(key: str) -> str | None:
+    """What a key stands for; None if the tokenizer could join its white space with that of its neighbours."""
+    if key[:1] == " ":
+        core = key[1:]
+        return core if core in ("", "\n") or not (core[0].isspace() or core[-1].isspace()) else None
+    core = key[1:] if key[:1] == "\n" else key
+    if not core or core[0].isspace() or core[-1].isspace():
+        return None
+    return key if key[0] == "\n" else " " + key
 
 
 class Units(dict):
-    """Numbers of a batch's distinct units, in the order in which they were first seen."""
+    """Numbers of distinct keys, in the order in which they were first seen; `new` has those seen since it was emptied."""
+
+    def __init__(self, known: Iterable[tuple[str, int]] = ()):
+        super().__init__(known)
+        self.new: list[str] = []
 
-    def __missing__(self, unit: str) -> int:
-        self[unit] = out = len(self)
+    def __missing__(self, key: str) -> int:
+        self[key] = out = len(self)
+        self.new.append(key)
         return out
 
 
 class Encoder:
-    """Ids of texts. Units are independent for this kind of tokenizer, and so are the pieces that it cuts them into before
-    it merges. So each distinct unit is cut and each distinct piece encoded once while it is remembered, and numpy puts the
-    ids in the units' places. They are those of the whole text. Units of a batch are told apart by their characters, and
-    from those remembered by all 128 bits of an XXH3 hash."""
+    """Ids of texts. The tokenizer cuts texts into pieces before it merges, and always before a space or a line end that
+    stands between other characters. So a text's units are independent: each distinct one is cut and each distinct piece
+    encoded once while it is remembered, and numpy puts the ids in the units' places. They are those of the whole text.
+    Units and pieces are told apart by their characters."""
 
     def __init__(self, path: str):
         import public_tokenizers
         import regex
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenize = self.tokenizer.model.tokenize
         self.pattern = regex.compile(public_tokenizers.PATTERN)
+        # The letter that stands for each byte, asked of the library: by bytes of whole characters, then by leading bytes.
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters: dict[int, str] = {}
+        for c in [*map(chr, range(0x800)), *(chr(k << 12 | 0x800) for k in range(16) if k != 13), "\ud7ff", *(chr(k << 18 | 0x10000) for k in range(4)), "\U00100000"]:
+            self.letters.update(zip(c.encode(), level.pre_tokenize_str(c)[0][0], strict=True))
         self.pieces: dict[str, bytes] = {}
-        self.forget()
+        none = np.zeros(0, dtype=np.int32)
+        self.remember([], none, none, none.astype("<u4"), none)
 
-    def forget(self) -> None:
-        """Remembered units: sorted low halves of their hashes, high halves, and each one's place and number of ids in the pool."""
-        self.low, self.high = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)
-        self.at, self.size, self.pool = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int32), np.zeros(0, dtype="<u4")
-
-    def bytes_of(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def remember(self, keys: list[str], at: np.ndarray, size: np.ndarray, pool: np.ndarray, uses: np.ndarray) -> None:
+        """Remembered units: each one's place in the pool of ids, number of ids (-1: its texts are encoded whole) and uses."""
+        self.units = Units(zip(keys, range(len(keys)), strict=True))
+        self.at, self.size, self.pool, self.uses = at, size, pool, uses
 
-    def _cut(self, unit: str) -> list[str]:
+    def forget(self) -> None:
+        """Keeps the half of the units that were used most."""
+        keys = list(self.units)
+        keep = np.sort(np.argsort(-self.uses, kind="stable")[: WORDS // 2])
+        n = np.maximum(self.size[keep], 0)
+        at = (np.cumsum(n) - n).astype(np.int32)
+        pool = self.pool[np.repeat(self.at[keep] - at, n) + np.arange(n.sum())]
+        self.remember([keys[k] for k in keep.tolist()], at, self.size[keep], pool, self.uses[keep] // 2)
+
+    def whole(self, text: str) -> np.ndarray:
+        """The ids of a text by the whole tokenizer."""
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def _merged(self, piece: str) -> bytes:
+        """The ids of a piece, as little-endian unsigned 32-bit integers."""
+        letters = piece.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.tokenize(letters)]).tobytes()
+
+    def _ids(self, unit: str) -> bytes:
         core = unit.rstrip(".,")
         if core[core[:1] == " " :].isalpha():
-            return [core, unit[len(core) :]] if len(core) < len(unit) else [core]
-        return self.pattern.findall(unit)
+            cut = (core, unit[len(core) :]) if len(core) < len(unit) else (core,)
+        else:
+            cut = self.pattern.findall(unit)
+        out = b""
+        for piece in cut:
+            ids = self.pieces.get(piece)
+            if ids is None:
+                self.pieces[piece] = ids = self._merged(piece)
+            out += ids
+        return out
 
-    def _learn(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Appends the units' ids to the pool: place and number of each one's."""
+    def _learn(self) -> None:
+        """Appends the new units' ids to the pool."""
+        if not self.units.new:
+            return
         if len(self.pieces) > PIECES:
             self.pieces = {}
-        cut = list(map(self._cut, units))
-        pieces = list({p for c in cut for p in c if p not in self.pieces})
-        for at in range(0, len(pieces), 10_000):
-            some = pieces[at : at + 10_000]
-            self.pieces.update(zip(some, self.bytes_of(some), strict=True))
-        get = self.pieces.__getitem__
-        ids = [get(c[0]) if len(c) == 1 else b"".join(map(get, c)) for c in cut]
+        texts = list(map(unit_text, self.units.new))
+        self.units.new = []
+        ids = [b"" if u is None else self._ids(u) for u in texts]
         size = np.fromiter(map(len, ids), dtype=np.int32, count=len(ids)) // 4
-        at = (len(self.pool) + np.cumsum(size) - size).astype(np.int32)
+        self.at = np.concatenate([self.at, (len(self.pool) + np.cumsum(size) - size).astype(np.int32)])
+        size[[u is None for u in texts]] = -1
+        self.size = np.concatenate([self.size, size])
         self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(ids), dtype="<u4")])
-        return at, size
-
-    def _places(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Place and number of ids of distinct units, which are remembered from then on."""
-        digest = xxhash.xxh3_128_digest
-        hashes = np.frombuffer(b"".join(digest(u.encode("utf-8", "surrogatepass")) for u in units), dtype=np.uint64).reshape(-1, 2)
-        low, high = hashes[:, 0], hashes[:, 1]
-        where = np.searchsorted(self.low, low)
-        near = np.minimum(where, max(len(self.low) - 1, 0))
-        same = self.low[near] == low if len(self.low) else np.zeros(len(units), dtype=bool)
-        known = same & (self.high[near] == high) if len(self.low) else same
-        at, size = np.zeros(len(units), dtype=np.int32), np.zeros(len(units), dtype=np.int32)
-        at[known], size[known] = self.at[near[known]], self.size[near[known]]
-        new = np.flatnonzero(~known)
-        if len(new):
-            at[new], size[new] = self._learn([units[k] for k in new])
-            add = new[~same[new]]
-            add = add[np.argsort(low[add])]
-            for name, values in (("high", high), ("at", at), ("size", size), ("low", low)):
-                setattr(self, name, np.insert(getattr(self, name), where[add], values[add]))
-        return at, size
 
     def encode(self, texts: list[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by `end` if there is one, and how many each text has."""
-        if len(self.low) > WORDS:
+        if len(self.units) > WORDS:
             self.forget()
         whole: dict[int, np.ndarray] = {}
         units: list[str] = []
@@ -123,16 +156,20 @@ class Encoder:
         for k, t in enumerate(texts):
             if not t:
                 continue
-            some = _UNITS.findall(t)
-            if t[0] == " " or "<|" in t or sum(map(len, some)) < len(t):
-                whole[k] = np.frombuffer(self.bytes_of([t])[0], dtype="<u4")
-            else:
-                units += some
-                count[k] = len(some)
-        names = Units()
-        number = np.fromiter(map(names.__getitem__, units), dtype=np.int32, count=len(units))
-        at, size = self._places(list(names))
-        n = size[number]
+            if SPECIAL in t:
+                whole[k] = self.whole(t)
+                continue
+            some = units_of(t)
+            units += some
+            count[k] = len(some)
+        number = np.fromiter(map(self.units.__getitem__, units), dtype=np.int32, count=len(units))
+        self._learn()
+        at, size = self.at, self.size
+        self.uses = np.bincount(number, minlength=len(size)) + np.pad(self.uses, (0, len(size) - len(self.uses)))
+        odd = np.flatnonzero(size[number] < 0)
+        for k in np.unique(np.searchsorted(np.cumsum(count), odd, side="right")).tolist():
+            whole[k] = self.whole(texts[k])
+        n = np.maximum(size[number], 0)
         done = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
         out = self.pool[np.repeat(at[number] - done[:-1], n) + np.arange(done[-1])]
         of_text = done[np.concatenate([[0], np.cumsum(count)])]

@@ -132,6 +132,23 @@ def test_token_ids_of_words_that_polynomials_confuse():
         assert n.tolist() == [len(w) for w in want] and flat.tolist() == [i for w in want for i in w]
 
 
+def test_token_ids_of_odd_texts_while_units_are_forgotten(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path, r = vocabulary(ID_VOCABULARY), random.Random(6)
+    t, e = Tokenizer.from_file(path), token_files.Encoder(path)
+    assert all(len(x) == 1 for x in e.letters.values())
+    pool = [*"abcdeinorstABÉé'’ ,.-_059üßñΣσİ\u0301\x00\x1c\x85\xa0\u180e\r\n\t漢語한😀\u200b<|>²½अिع", "  ", " \n", "\n ", "\n\n", "the", "ing", "'ll", "<|endoftext|>", " a", " b", "word"]
+    texts = ["".join(r.choice(pool) for _ in range(r.randrange(14))) for _ in range(4000)]
+    monkeypatch.setattr(token_files, "WORDS", 60)
+    monkeypatch.setattr(token_files, "PIECES", 40)
+    for at in range(0, len(texts), 40):
+        some = texts[at : at + 40]
+        want = [[*x.ids, 2] for x in t.encode_batch(some, add_special_tokens=False)]
+        flat, n = e.encode(some, 2)
+        assert n.tolist() == [len(w) for w in want] and flat.tolist() == [i for w in want for i in w]
+
+
 def test_offsets_beyond_100_000_files(spark):
     """Part numbers of six digits sort before those of five as text; the index must not follow them."""
     out, first = new_path(spark, "test-tokens"), [(99_999, 10), (100_000, 20)]
