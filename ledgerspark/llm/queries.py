@@ -1,4 +1,4 @@
-"""The operators' queries: op1 to op10, each over its whole table."""
+"""The operators' queries: op1 to op13, each over its whole table."""
 
 from __future__ import annotations
 
@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, hmm, jaccard_join, licenses, mixing, quality, suffix_dedup, token_counts, token_files
+from . import chat, conversation_repair, decontaminate, hmm, jaccard_join, licenses, merge_replay, mixing, periodic_runs, quality, suffix_dedup, token_counts, token_files
 from .common import new_path, table
 from .sql import ORACLE
 
 #: The folder-independent names of the vocabulary files that the queries use.
-COUNT_VOCABULARY, ID_VOCABULARY = "word_bpe_49k.json", "byte_bpe_50k.json"
+COUNT_VOCABULARY, ID_VOCABULARY, RANKS = "word_bpe_49k.json", "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
 
 def vocabulary(name: str) -> str:
@@ -68,6 +68,19 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_conversations(rows.unionByName(more))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(table(spark, sf_dir, "documents"), periodic_runs.planted)
+
+
+def op12_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge_replay.digests(merge_replay.encode(table(spark, sf_dir, "documents"), vocabulary(RANKS)), vocabulary(RANKS))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversation_repair.repair_report(rows, conversation_repair.damaged(rows))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_mixing": op2_mixing,
@@ -79,6 +92,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_quality_rules": op9_quality_rules,
     "op10_chat_format": op10_chat_format,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_merge_replay": op12_merge_replay,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 
