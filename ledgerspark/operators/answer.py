@@ -24,17 +24,19 @@ def label_score(label_tokens: Column, metric: Column, has_code: Column | None =
 
 
 def best_match(scored: DataFrame, query_key: str, order: list[str], least: float = THRESHOLD) -> DataFrame:
-    """The row with the best score of each query, the first of equals, if it reaches the threshold."""
-    rank = F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("score"), *order))
-    return scored.withColumn("__r", rank).filter((F.col("__r") == 1) & (F.col("score") >= least)).drop("__r")
+    """The row with the best score of each query, the first of equals, if it reaches the threshold; combined before the
+    shuffle."""
+    best = F.min_by(F.struct(*(c for c in scored.columns if c != query_key)), F.struct((-F.col("score")).alias("__s"), *order))
+    return scored.filter(F.col("score") >= least).groupBy(query_key).agg(best.alias("__b")).select(query_key, "__b.*")
 
 
-def tiered(questions: DataFrame, first: DataFrame, second: DataFrame, key: str) -> DataFrame:
-    """key, answer, tier: the first tier's value over the unit, else the second's, else 0 and no tier."""
-    a, b = first.select(key, F.col("value").alias("__a")), second.select(key, F.col("value").alias("__b"))
-    joined = questions.select(key, "unit_factor").join(a, key, "left").join(b, key, "left")
-    tier = F.when(F.col("__a").isNotNull(), "facts").when(F.col("__b").isNotNull(), "evidence")
-    return joined.select(key, F.coalesce(F.round(F.coalesce("__a", "__b") / F.col("unit_factor"), 2), F.lit(0.0)).alias("answer"), tier.alias("tier"))
+def tiered(questions: DataFrame, first: DataFrame, second: DataFrame, key: str, keep: tuple[str, ...] = (), carry: tuple[str, ...] = ()) -> DataFrame:
+    """key, answer, tier, columns to keep of the tier that counts and to carry of the questions: the first tier's value over
+    the unit, else the second's, else 0 and no tier."""
+    row = lambda tier: F.struct(F.lit(tier).alias("tier"), "value", *keep)
+    found = first.select(key, row("facts").alias("__a")).join(second.select(key, row("evidence").alias("__b")), key, "full").select(key, F.when(F.col("__a.value").isNotNull(), F.col("__a")).when(F.col("__b.value").isNotNull(), F.col("__b")).alias("__r"))
+    joined = questions.select(key, *dict.fromkeys(["unit_factor", *carry])).join(found, key, "left")
+    return joined.select(key, F.coalesce(F.round(F.col("__r.value") / F.col("unit_factor"), 2), F.lit(0.0)).alias("answer"), "__r.tier", *(f"__r.{c}" for c in keep), *carry)
 
 
 def plan_evidence(results: DataFrame, table_statement: DataFrame, query_key: str = "qid") -> DataFrame:
@@ -144,12 +146,14 @@ def run_program(spark: SparkSession, sql: str, frames: dict[str, DataFrame], sec
             spark.catalog.dropGlobalTempView(name)
 
 
+def _quoted(s: str) -> str:
+    return "'" + s.replace("\\", "\\\\").replace("'", "''") + "'"
+
+
 def lookup_program(variable: str, year: int, unit_factor: float, code: str | None = None, label: str | None = None) -> str:
-    """The SQL of a lookup: by code, else by the label's first words; 0 if there is no row."""
-    quote = lambda s: "'" + s.replace("'", "''") + "'"
-    words = [w for w in re.sub("[()]", " ", label or "").split() if len(w) >= 3][:6]
-    test = f"code = {quote(code)}" if code else f"contains(item, {quote(' '.join(words) or (label or ''))})"
-    return f"select coalesce(round(min_by(value, ord) / {unit_factor!r}, 2), 0.0) as result from {variable} where {test} and period = {int(year)}"
+    """The SQL of a lookup by code and normalised label, as far as given: the first row's value, 0 if there is none."""
+    tests = [f"{name} = {_quoted(value)}" for name, value in (("code", code), ("item", label)) if value]
+    return f"select coalesce(round(min_by(value, ord) / {unit_factor!r}, 2), 0.0) as result from {variable} where {' and '.join([*tests, f'period = {int(year)}'])}"
 
 
 # Derived figures over (entity, period, value)

@@ -11,9 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import ColumnLike, col, normalize_label
-from .answer import THRESHOLD, label_score
+from ..functions.text import ColumnLike, clean_label, col, normalize_label
+from . import matching
+from .answer import best_match, tiered
 from .entities import UNITS
+from .package import prune_inputs, used_variables
 
 #: Words of a question that do not name its figure.
 FILLER = """
@@ -45,13 +47,6 @@ def simple_lookups(questions: DataFrame) -> DataFrame:
     return out.filter(F.size("metric") > 0)
 
 
-def _best(scored: DataFrame, order: list[str], keep: list[str]) -> DataFrame:
-    """The row with the best score of each id, the first of equals, from the threshold on; combined before the shuffle."""
-    scored = scored.withColumn("score", F.round("score", 9)).filter(F.col("score") >= THRESHOLD)
-    best = F.min_by(F.struct("score", *keep), F.struct((-F.col("score")).alias("s"), *order))
-    return scored.groupBy("id").agg(best.alias("b")).select("id", "b.*")
-
-
 def statement_variables(lookups: DataFrame, plan: DataFrame) -> DataFrame:
     """id and variable: the first merged statement of the plan that is the question's, of its company and report type."""
     stmt = plan.filter("kind = 'stmt'").select("id", "variable", "var_no", "report_id", F.col("name").alias("statement"))
@@ -60,23 +55,38 @@ def statement_variables(lookups: DataFrame, plan: DataFrame) -> DataFrame:
     return joined.filter(fits).groupBy("id").agg(F.min_by("variable", "var_no").alias("variable"))
 
 
+def _words(label: Column) -> Column:
+    return F.filter(F.split(label, " "), lambda t: t != "")
+
+
+def fact_candidates(lookups: DataFrame, facts: DataFrame, order: list[str]) -> DataFrame:
+    """Pairs of questions with a statement and facts' labels of their company, statement, one of their years and their type."""
+    keys = ["ticker", "statement", "year"]
+    f = facts.select(*keys, F.col("report_type").alias("type"), F.col("item_label").alias("label"), F.coalesce("item_code", F.lit("")).alias("code"), "value", *order)
+    index = matching.label_index(f, [*keys, "type"], _words(F.col("label")), F.col("code") != "", order, ["type", "year", "label", "code", "value"])
+    asks = lookups.filter("statement is not null").select(F.struct("id", "report_type").alias("ask"), "ticker", "statement", F.explode(F.array_distinct("years")).alias("year"), "metric")
+    return matching.candidates(asks, index, keys).filter(F.col("ask.report_type").isNull() | (F.col("ask.report_type") == F.col("first.type")))
+
+
 def match_facts(lookups: DataFrame, facts: DataFrame, order: list[str]) -> DataFrame:
-    """id, score, label, code, value: the fact of the question's company, years, type and statement whose label fits best.
-    Questions without statement have none."""
-    f = facts.select(F.col("ticker"), F.col("statement"), F.col("year").alias("__y"), F.col("report_type").alias("__t"), F.col("item_label").alias("label"), F.coalesce("item_code", F.lit("")).alias("code"), F.col("value"), *order)
-    joined = lookups.filter("statement is not null").select("id", "ticker", "statement", "years", "report_type", "metric").join(f, ["ticker", "statement"])
-    joined = joined.filter(F.array_contains("years", F.col("__y")) & (F.col("report_type").isNull() | (F.col("report_type") == F.col("__t"))))
-    return _best(joined.withColumn("score", label_score(F.filter(F.split("label", " "), lambda t: t != ""), F.col("metric"), F.col("code") != "")), order, ["label", "code", "value"])
+    """id, score, label, code, period, value: the fact of the question's company, years, type and statement whose label fits
+    best. Questions without statement have none."""
+    pairs = matching.scored(fact_candidates(lookups, facts, order))
+    best = best_match(pairs.select("ask.id", "score", "first.*"), "id", order)
+    return best.select("id", "score", "label", "code", F.col("year").alias("period"), "value")
 
 
 def match_evidence(lookups: DataFrame, plan: DataFrame, evidence: DataFrame, order: list[str]) -> DataFrame:
-    """id, score, variable, label, code, value: the row of the question's year, in the tables of its plan, whose label fits
-    best; codes do not count here."""
+    """id, score, variable, label, code, period, value: the row of the question's year, in the tables of its plan, whose
+    label fits best; codes do not count here."""
+    keys = ["report_id", "name", "year"]
     rows = evidence.select("report_id", "name", F.col("item").alias("label"), F.coalesce("code", F.lit("")).alias("code"), F.col("period").alias("year"), "value", *order)
+    index = matching.label_index(rows, keys, _words(normalize_label("label")), F.lit(False), order, ["label", "code", "value"])
     wanted = lookups.select("id", "year", "metric").join(plan.select("id", "variable", "var_no", "report_id", "name"), "id")
-    joined = wanted.join(rows, ["report_id", "name", "year"])
-    words = F.filter(F.split(normalize_label("label"), " "), lambda t: t != "")
-    return _best(joined.withColumn("score", label_score(words, F.col("metric"))), ["var_no", *order], ["variable", "label", "code", "value"])
+    asks = wanted.select(F.struct("id", "variable", "var_no").alias("ask"), *keys, "metric")
+    pairs = matching.scored(matching.candidates(asks, index, keys, bonus=False))
+    best = best_match(pairs.select("ask.*", "score", F.col("year").alias("period"), "first.*"), "id", ["var_no", *order])
+    return best.select("id", "score", "variable", "label", "code", "period", "value")
 
 
 def solve(questions: DataFrame, facts: DataFrame, plan: DataFrame, evidence: DataFrame, facts_order: list[str], evidence_order: list[str]) -> DataFrame:
@@ -85,22 +95,19 @@ def solve(questions: DataFrame, facts: DataFrame, plan: DataFrame, evidence: Dat
     lookups = simple_lookups(questions)
     a = match_facts(lookups, facts.filter("value is not null"), facts_order).join(statement_variables(lookups, plan), "id")
     b = match_evidence(lookups, plan, evidence.filter("value is not null"), evidence_order)
-    row = lambda tier: F.struct(F.lit(tier).alias("tier"), "variable", "label", "code", "value")
-    found = a.select("id", row("facts").alias("a")).join(b.select("id", row("evidence").alias("b")), "id", "full").select("id", F.coalesce("a", "b").alias("r"))
-    out = questions.select("id", "unit_factor", F.array_max("years").alias("year")).join(found, "id", "left").select("id", "unit_factor", "year", "r.*")
+    asked = questions.select("id", "unit_factor", F.array_max("years").alias("year"))
+    out = tiered(asked, a, b, "id", ("variable", "label", "code", "period"), ("unit_factor", "year"))
     year = F.when(F.col("tier").isNotNull(), F.col("year"))
-    answer = F.coalesce(F.round(F.col("value") / F.col("unit_factor"), 2), F.lit(0.0))
-    return out.select("id", answer.alias("answer"), "tier", "variable", year.alias("year"), "label", "code", program().alias("program"))
+    return out.select("id", "answer", "tier", "variable", year.alias("year"), "label", "code", program().alias("program"))
 
 
 def program() -> Column:
-    """The SQL of a row's lookup, as `answer.lookup_program` writes it, from variable, year, unit_factor, code and label."""
-    quote = lambda c: F.concat(F.lit("'"), F.replace(c, F.lit("'"), F.lit("''")), F.lit("'"))
-    plain = normalize_label("label")
-    words = F.slice(F.filter(F.split(F.regexp_replace(plain, "[()]", " "), " "), lambda w: F.length(w) >= 3), 1, 6)
-    snippet = F.when(F.size(words) > 0, F.array_join(words, " ")).otherwise(plain)
-    test = F.when(F.col("code") != "", F.concat(F.lit("code = "), quote(F.col("code")))).otherwise(F.concat(F.lit("contains(item, "), quote(snippet), F.lit(")")))
-    return F.concat(F.lit("select coalesce(round(min_by(value, ord) / "), F.col("unit_factor").cast("string"), F.lit(", 2), 0.0) as result from "), F.col("variable"), F.lit(" where "), test, F.lit(" and period = "), F.col("year").cast("string"))
+    """The SQL of a row's lookup, as `answer.lookup_program` writes it, from variable, period, unit_factor, code and label.
+    Evidence has labels normalised, those of merged statements without backslashes."""
+    quote = lambda c: F.concat(F.lit("'"), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("''")), F.lit("'"))
+    item = F.when(F.col("tier") == "facts", clean_label(normalize_label("label"))).otherwise(normalize_label("label"))
+    test = F.concat(F.when(F.col("code") != "", F.concat(F.lit("code = "), quote(F.col("code")), F.lit(" and "))).otherwise(""), F.lit("item = "), quote(item))
+    return F.concat(F.lit("select coalesce(round(min_by(value, ord) / "), F.col("unit_factor").cast("string"), F.lit(", 2), 0.0) as result from "), F.col("variable"), F.lit(" where "), test, F.lit(" and period = "), F.col("period").cast("string"))
 
 
 def missing_statements(questions: DataFrame, plan: DataFrame) -> DataFrame:
@@ -170,8 +177,8 @@ def records(questions: DataFrame, results: DataFrame, plan: DataFrame, solved: D
 def submission(records: DataFrame) -> DataFrame:
     """Records with only the evidence that their programs use, and only the tables of that evidence: all tables of a report
     whose merged statement is used, else the tables themselves. A program that names no variable keeps everything."""
-    used = F.array_distinct(F.regexp_extract_all("program", F.lit(r"\b(df\d+)\b"), F.lit(1)))
-    kept = F.when(F.size(used) > 0, F.filter("evidence", lambda e: F.array_contains(used, e["variable"]))).otherwise(F.col("evidence"))
+    used = used_variables("program")
+    kept = F.when(F.size(used) > 0, prune_inputs(F.col("evidence"), "program")).otherwise(F.col("evidence"))
     out = records.withColumn("evidence", kept)
     sources = F.transform("evidence", lambda e: evidence_source(e["csv_path"]))
     whole = F.transform(F.filter(sources, lambda s: ~s["item"].startswith("table_")), lambda s: s["report_id"])
@@ -189,6 +196,5 @@ def evidence_files(submitted: DataFrame, evidence: DataFrame) -> tuple[DataFrame
 
 def usage(submitted: DataFrame) -> DataFrame:
     """One row: n, mean_evidence, mean_used, n_fewer: how many entries records have and their programs name."""
-    used = F.size(F.array_distinct(F.regexp_extract_all("program", F.lit(r"\b(df\d+)\b"), F.lit(1))))
-    counts = submitted.select(F.size("evidence").alias("e"), used.alias("u"))
+    counts = submitted.select(F.size("evidence").alias("e"), F.size(used_variables("program")).alias("u"))
     return counts.agg(F.count("*").alias("n"), F.round(F.avg("e"), 6).alias("mean_evidence"), F.round(F.avg("u"), 6).alias("mean_used"), F.count_if(F.col("u") < F.col("e")).alias("n_fewer"))
