@@ -50,5 +50,8 @@ def catalog(catalog: DataFrame, tickers: list[str] | None = None, statements_onl
     return out.filter(F.col("ticker").isin(list(tickers))) if tickers else out
 
 
-def report_year(c: str = "report_id") -> F.Column:
-    return first_year(c)
+def of_questions(stored: DataFrame, questions: DataFrame, rows: int = 10_000) -> DataFrame:
+    """Stored rows, partitioned by ticker, of the companies that questions (tickers) name. Where those are few the scan
+    opens their partitions alone, as the plan learns them at run time; where they are many it is a shuffle join."""
+    named = questions.select(F.explode("tickers").alias("ticker")).filter("ticker is not null").distinct()
+    return stored.join(F.broadcast(named) if named.limit(rows + 1).count() <= rows else named, "ticker", "left_semi")

@@ -2,16 +2,45 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.storage import tier
+
 #: Column names of evidence files.
 EVIDENCE = {"item": "chi_tieu", "code": "Mãsố", "period": "ky", "value": "value"}
 
 
 def write_partitions(df: DataFrame, path: str, by: str = "ticker") -> None:
-    """Replaces the partitions that df has rows for; others stay. A run can be repeated."""
-    df.repartition(by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+    """Replaces the partitions that df has rows for; others stay. A run can be repeated. A large partition is written by
+    several tasks."""
+    df.hint("rebalance", by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+
+
+def merge_partitions(new: DataFrame, path: str, keys: list[str], by: str = "ticker") -> None:
+    """new over the stored rows by keys (which with by identify a row); only partitions that new has rows for are read and
+    written, the files of others stay as they are. What is written is staged first, so a run that is cut changes nothing."""
+    spark = new.sparkSession
+    new = tier(new, "merge-new")
+    try:
+        old = spark.read.schema(new.schema).parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        write_partitions(new, path, by)
+        return
+    touched = old.join(F.broadcast(new.select(by).distinct()) if fits(new.select(by).distinct()) else new.select(by).distinct(), by, "left_semi")
+    same = [F.col(f"o.{c}").eqNullSafe(F.col(f"n.{c}")) for c in [by, *keys]]
+    condition = same[0]
+    for c in same[1:]:
+        condition = condition & c
+    kept = touched.alias("o").join(new.select(by, *keys).alias("n"), condition, "left_anti")
+    write_partitions(tier(kept.select(new.columns).unionByName(new), "merge-rows"), path, by)
+
+
+def fits(df: DataFrame, rows: int = 10_000) -> bool:
+    return df.limit(rows + 1).count() <= rows
 
 
 def append_records(df: DataFrame, path: str) -> None:
