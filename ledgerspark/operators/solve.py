@@ -8,7 +8,7 @@ Evidence: report_id, name, item, code, period, value and columns of an order.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ColumnLike, clean_label, col, normalize_label
@@ -116,6 +116,27 @@ def missing_statements(questions: DataFrame, plan: DataFrame) -> DataFrame:
     return wanted.join(plan.filter("kind = 'stmt'").select("id", F.col("name").alias("statement")), ["id", "statement"], "left_anti")
 
 
+def fill_gaps(questions: DataFrame, plan: DataFrame, merged: DataFrame) -> DataFrame:
+    """The entries that plans of several companies lack: id, variable, var_no, report_id, kind, name.
+
+    Each company of such a question should have a balance sheet, an income statement and the question's own statement. For
+    each of its years and report types (both where none is asked for) the first by name that its plan has for no report of
+    the company, and that is there among merged statements (report_id, name), is added after the plan's entries."""
+    asked = questions.filter(F.size("tickers") >= 2).select("id", "tickers", "years", "report_type", "statement")
+    types = F.when(F.col("report_type").isNotNull(), F.array("report_type")).otherwise(F.array(F.lit("consolidated"), F.lit("separate")))
+    needed = F.array_distinct(F.array_compact(F.array(F.lit("balance_sheet"), F.lit("income"), F.col("statement"))))
+    each = asked.select("id", F.explode("tickers").alias("ticker"), "years", types.alias("types"), needed.alias("needed"))
+    have = plan.select("id", F.substring_index("report_id", "_", 1).alias("ticker"), "name").groupBy("id", "ticker").agg(F.collect_set("name").alias("have"))
+    lacking = each.join(have, ["id", "ticker"], "left").withColumn("missing", F.array_except("needed", F.coalesce("have", F.array().cast("array<string>")))).filter(F.size("missing") > 0)
+    keys = lacking.select("id", "ticker", "missing", "types", F.explode(F.array_distinct("years")).alias("year")).select("id", "ticker", "missing", "year", F.posexplode("types").alias("type_no", "type"))
+    keys = keys.withColumn("report_id", F.concat(F.col("ticker"), F.lit("_financial_statements_"), F.col("year").cast("string"), F.lit("_"), F.col("type"))).withColumn("name", F.explode("missing"))
+    found = keys.join(merged.select("report_id", "name").distinct(), ["report_id", "name"], "left_semi")
+    first = found.groupBy("id", "ticker", "year", "type_no", "report_id").agg(F.min("name").alias("name"))
+    last = plan.groupBy("id").agg(F.max("var_no").alias("last"))
+    numbered = first.join(last, "id", "left").withColumn("var_no", F.coalesce("last", F.lit(0)) + F.row_number().over(Window.partitionBy("id").orderBy("ticker", "year", "type_no")))
+    return numbered.select("id", F.concat(F.lit("df"), F.col("var_no").cast("string")).alias("variable"), "var_no", "report_id", F.lit("stmt").alias("kind"), "name")
+
+
 def table_statements(meta: DataFrame) -> DataFrame:
     """report_id, table_no, statement of the tables in merged statements (report_id, statement, table_nos). Of a table in
     several, the last statement by name counts."""

@@ -99,6 +99,30 @@ def evidence_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return solve.usage(solve.records(asked, plan.select("id", "report_id", F.col("var_no").alias("rank")), plan, solved))
 
 
+@query("""WITH q AS (SELECT p_partkey AS id, split_part(p_brand, '#', 2)::INTEGER AS b, 2017 + p_partkey % 5 AS y FROM part),
+t AS (SELECT id, y, 'B' || b AS ticker, id % 2 = 0 AS has FROM q WHERE id % 5 <> 0 UNION ALL SELECT id, y, 'B' || (b % 25 + 1), false FROM q WHERE id % 5 <> 0),
+k AS (SELECT id, ticker, has, y + a.a AS y, r.n AS type_no, r.t AS type FROM t, (VALUES (0), (1)) a(a), (VALUES (0, 'consolidated'), (1, 'separate')) r(n, t) WHERE id % 4 > 1 OR r.n = id % 4),
+m AS (SELECT DISTINCT 'B' || split_part(p_brand, '#', 2) AS ticker, year(l_shipdate) + 23 AS y, CASE WHEN l_linenumber % 2 = 0 THEN 'consolidated' ELSE 'separate' END AS type, CASE l_returnflag WHEN 'A' THEN 'balance_sheet' WHEN 'R' THEN 'income' ELSE 'cash_flow' END AS name
+  FROM lineitem JOIN part ON l_partkey = p_partkey WHERE (year(l_shipdate) + split_part(p_brand, '#', 2)::INTEGER * 3 + ascii(l_returnflag)) % 4 <> 0),
+f AS (SELECT id, k.ticker, k.y, type_no, k.type, min(name) AS name FROM k JOIN m ON k.ticker = m.ticker AND k.y = m.y AND k.type = m.type WHERE (name <> 'cash_flow' OR id % 3 = 0) AND NOT (has AND name = 'income') GROUP BY ALL)
+SELECT id, 'df' || (CASE WHEN id % 2 = 0 THEN 2 ELSE 1 END + row_number() OVER (PARTITION BY id ORDER BY ticker, y, type_no)) AS variable, ticker || '_financial_statements_' || y || '_' || type AS report_id, name FROM f""")
+def company_gap_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements that the plans of questions about two brands lack, from the questions' text."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.element_at(F.split("p_brand", "#"), 2).cast("int").alias("b"), (F.col("p_partkey") % 5 + 2017).alias("y"))
+    k, other = F.col("id"), (F.col("b") % 25 + 1).cast("string")
+    text = F.concat(F.when(k % 3 == 0, "Dòng tiền").when(k % 3 == 1, "Doanh thu").otherwise("Số liệu"), F.when(k % 4 == 0, " hợp nhất").when(k % 4 == 1, " công ty mẹ").otherwise(""), F.lit(" của B"), F.col("b").cast("string"), F.when(k % 5 != 0, F.concat(F.lit(" và B"), other)).otherwise(""), F.lit(" năm "), F.col("y").cast("string"), F.lit(" và "), (F.col("y") + 1).cast("string"))
+    stocks = part.select(F.concat(F.lit("B"), F.col("b").cast("string")).alias("ticker")).distinct().withColumn("company_name", F.concat(F.lit("Holding "), F.col("ticker")))
+    asked = tier(entities.entities(part.select("id", text.alias("question")), stocks), "questions")
+    report = lambda b: F.concat(F.lit("B"), b, F.lit("_financial_statements_"), F.col("y").cast("string"), F.lit("_consolidated"))
+    plan = part.select("id", F.lit("df1").alias("variable"), F.lit(1).alias("var_no"), report(other).alias("report_id"), F.lit("table").alias("kind"), F.lit("table_3").alias("name"))
+    plan = plan.unionByName(part.filter(k % 2 == 0).select("id", F.lit("df2").alias("variable"), F.lit(2).alias("var_no"), report(F.col("b").cast("string")).alias("report_id"), F.lit("stmt").alias("kind"), F.lit("income").alias("name")))
+    items = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).withColumns({"b": F.element_at(F.split("p_brand", "#"), 2), "y": F.year("l_shipdate") + 23})
+    kind = F.when(F.col("l_returnflag") == "A", "balance_sheet").when(F.col("l_returnflag") == "R", "income").otherwise("cash_flow")
+    there = items.filter((F.year("l_shipdate") + F.col("b").cast("int") * 3 + F.ascii("l_returnflag")) % 4 != 0)
+    merged = there.select(F.concat(F.lit("B"), F.col("b"), F.lit("_financial_statements_"), F.col("y").cast("string"), F.when(F.col("l_linenumber") % 2 == 0, "_consolidated").otherwise("_separate")).alias("report_id"), kind.alias("name"))
+    return solve.fill_gaps(asked, plan, merged).select("id", "variable", "report_id", "name")
+
+
 def _evidence_of_programs(facts: DataFrame, evidence: DataFrame) -> DataFrame:
     """Tables of notes, and each company's facts of a year as its merged statement."""
     merged = facts.select("report_id", F.col("statement").alias("name"), F.col("item_label").alias("item"), F.col("item_code").alias("code"), F.col("year").alias("period"), "value", *ORDER)

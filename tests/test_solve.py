@@ -102,6 +102,22 @@ def test_programs_run_on_raw_tidy_output(spark):
     assert {(r.status, r.executed) for r in rerun.verdicts(made, evidence, ["ord"]).collect()} == {("ok", 1000.0 * k) for k in range(1, 6)}
 
 
+def test_gaps_of_several_companies_are_filled(spark):
+    kind = "id int, tickers array<string>, years array<int>, report_type string, statement string"
+    asked = spark.createDataFrame([(1, ["AAA", "BBB"], [2020, 2021], None, "cash_flow"), (2, ["AAA", "BBB"], [2020], "separate", None), (3, ["AAA"], [2020], None, None), (4, ["AAA", "CCC"], [], None, None)], kind)
+    report = "{}_financial_statements_{}_{}".format
+    plan = spark.createDataFrame([(1, "df1", 1, report("AAA", 2020, "consolidated"), "stmt", "balance_sheet"), (1, "df2", 2, report("AAA", 2020, "consolidated"), "stmt", "income")], "id int, variable string, var_no int, report_id string, kind string, name string")
+    merged = [(report("AAA", 2020, "consolidated"), "cash_flow"), (report("AAA", 2021, "separate"), "cash_flow"), (report("AAA", 2021, "separate"), "income"), (report("BBB", 2020, "separate"), "income"), (report("BBB", 2020, "separate"), "balance_sheet"), (report("BBB", 2021, "consolidated"), "income")]
+    got = solve.fill_gaps(asked, plan, spark.createDataFrame(merged * 2, "report_id string, name string"))
+    want = [
+        (1, "df3", 3, report("AAA", 2020, "consolidated"), "stmt", "cash_flow"), (1, "df4", 4, report("AAA", 2021, "separate"), "stmt", "cash_flow"),
+        (1, "df5", 5, report("BBB", 2020, "separate"), "stmt", "balance_sheet"), (1, "df6", 6, report("BBB", 2021, "consolidated"), "stmt", "income"),
+        (2, "df1", 1, report("BBB", 2020, "separate"), "stmt", "balance_sheet"),
+    ]
+    assert sorted(map(tuple, got.collect())) == want
+    assert solve.fill_gaps(asked.limit(0), plan, spark.createDataFrame(merged, "report_id string, name string")).count() == 0
+
+
 def test_verdicts(spark):
     path = f"data/{R}__table_7.csv"
     program = lambda **k: lookup_program("df1", 2020, 10.0, **k)
