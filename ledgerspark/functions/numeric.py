@@ -63,6 +63,7 @@ def unit_factor(c: ColumnLike) -> Column:
     return F.when(n.rlike(r"\bnghin ty\b"), 1e12).when(n.rlike(r"\bnghin\b"), 1e3).when(n.rlike(r"\btrieu\b"), 1e6).when(n.rlike(r"\bty\b"), 1e9).when(n.rlike(r"\btram\b"), 1e2).otherwise(1.0)
 
 
+#: How headers and unit lines name units.
 HEADER_UNIT = r"(?iu)((?:Nghìn\s*tỷ|Nghìn|Triệu|Tỷ|Trăm)?\s*(?:VND|đồng))"
 UNIT_LINE = r"(?iu)(?:Đơn\s*vị\s*(?:tính|tiền\s*tệ)?\s*[::/]|ĐVT\s*[::/])\s*([^:\n]+)"
 

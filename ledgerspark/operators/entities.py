@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ColumnLike, compact, name_variants, normalize_label
+from ..plans.storage import tier
 
 #: Brand names of tickers.
 ALIASES = {"bidv": "BID", "vietcombank": "VCB", "vietinbank": "CTG", "sacombank": "STB", "vinamilk": "VNM", "masan": "MSN", "vingroup": "VIC", "hoa sen": "HSG", "hoa phat": "HPG", "techcombank": "TCB"}
@@ -17,6 +18,7 @@ HINTS = {
 }
 #: Units of answers, the longest first.
 UNITS = {"nghin ty dong": 1e12, "ty dong": 1e9, "trieu dong": 1e6, "nghin dong": 1e3, "dong": 1.0}
+#: Words of questions that ask for more than one figure.
 _COMPLEX = ["tang", "giam", "so voi", "chenh lech", "nhieu hon", "it hon", "ty le", "phan tram", "bien loi nhuan", "per", "eps", "cao nhat", "thap nhat", "nhanh nhat", "cham nhat", "trung binh", "tong cong", "quy do"]
 FIRST_YEAR, LAST_YEAR = 2015, 2025
 
@@ -95,7 +97,8 @@ def suppress_inside(hits: DataFrame, key: str, kinds: tuple[str, ...] = ("name",
 def tickers(questions: DataFrame, stocks: DataFrame, key: str = "id", text: str = "question") -> DataFrame:
     """key, tickers (array, in order), matched (map of ticker to what was found). A name's longest hit at a place counts;
     a bare ticker inside a name's span does not, one in parentheses always does."""
-    hits = suppress_inside(phrase_hits(questions, company_patterns(stocks), key, text), key)
+    # Written, as all that follows looks at the hits several times.
+    hits = tier(suppress_inside(tier(phrase_hits(questions, company_patterns(stocks), key, text), "phrase-hits"), key), "company-hits")
     inside = hits.filter("kind = 'name'").alias("a").join(hits.filter("kind = 'name'").alias("b"), (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("b.at") <= F.col("a.at")) & (F.col("b.at") + F.col("b.n") >= F.col("a.at") + F.col("a.n")) & (F.col("b.n") > F.col("a.n")), "left_anti")
     found = inside.select(key, "ticker", "pattern").unionByName(hits.filter("kind <> 'name'").select(key, "ticker", "pattern"))
     named = questions.select(key, F.explode(F.regexp_extract_all(F.col(text), F.lit(r"\(\s*([A-Za-z]{2,4}[0-9]?)\s*\)"), F.lit(1))).alias("t")).select(key, F.upper("t").alias("ticker"), F.lower("t").alias("pattern"))

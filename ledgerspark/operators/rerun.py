@@ -51,7 +51,7 @@ def verdicts(records: DataFrame, evidence: DataFrame, order: list[str], toleranc
     known = evidence.select("report_id", "name").distinct().withColumn("known", F.lit(True))
     wrong = paths.join(known, ["report_id", "name"], "left").filter(F.col("known").isNull() | ~F.col("csv_path").startswith("data/"))
     wrong = wrong.groupBy("id").agg(F.min("csv_path").alias("bad_path"))
-    parsed = all_.withColumn("l", lookup("program"))
+    parsed = all_.withColumn("l", F.when(F.col("program") != "", lookup("program")))
     source = F.get(F.filter("entries", lambda e: e["variable"] == F.col("l.variable")), F.lit(0))["source"]
     asked = parsed.withColumn("s", source).select("id", "answer", "program", F.size("entries").alias("n"), F.col("l").isNotNull().alias("is_lookup"), F.col("s").isNotNull().alias("has_table"), F.col("s.report_id").alias("report_id"), F.col("s.item").alias("name"), "l.code", "l.label", "l.period", "l.unit")
     values = execute(asked.filter("is_lookup and has_table"), evidence, order)

@@ -51,12 +51,12 @@ def inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     asked = part.select(F.col("p_partkey").alias("id"), "ticker", (F.col("p_partkey") % 5 + 2017).alias("year")).withColumn("report_id", _report("ticker", "year"))
     notes = asked.select("id", F.lit("df1").alias("variable"), F.lit(1).alias("var_no"), "report_id", F.lit("table").alias("kind"), F.lit("table_3").alias("name"), F.array(F.lit(3)).alias("fragments"))
     income = asked.filter("id % 4 <> 1").select("id", F.lit("df2").alias("variable"), F.lit(2).alias("var_no"), "report_id", F.lit("stmt").alias("kind"), F.lit("income").alias("name"), F.array(F.lit(1), F.lit(2)).alias("fragments"))
-    return facts, notes.unionByName(income), evidence
+    return tier(facts, "facts"), tier(notes.unionByName(income), "plans"), tier(evidence, "evidence")
 
 
 def _solved(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     asked, (facts, plan, evidence) = questions(spark, sf_dir), inputs(spark, sf_dir)
-    return asked, plan, solve.solve(asked, facts, plan, evidence, ORDER, ORDER)
+    return asked, plan, tier(solve.solve(asked, facts, plan, evidence, ORDER, ORDER), "solved")
 
 
 @query("SELECT p_partkey AS id, CASE WHEN p_partkey % 3 <> 0 THEN 'thu ' ELSE '' END || lower(p_name) || CASE WHEN p_partkey % 7 = 0 THEN ' truoc' ELSE '' END AS metric FROM part")
@@ -138,7 +138,7 @@ v AS (SELECT id, CASE WHEN bad THEN 'bad_path' WHEN id % 17 = 0 THEN 'crash' WHE
 def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records some of which got another answer, a path that is none, or a program that is no lookup."""
     asked, (facts, plan, evidence) = questions(spark, sf_dir), inputs(spark, sf_dir)
-    solved = solve.solve(asked, facts, plan, evidence, ORDER, ORDER)
+    solved = tier(solve.solve(asked, facts, plan, evidence, ORDER, ORDER), "solved")
     made = solve.submission(solve.records(asked, plan.select("id", "report_id", F.col("var_no").alias("rank")), plan, solved))
     k = F.col("id")
     made = made.withColumns({
@@ -146,7 +146,7 @@ def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "evidence": F.when(k % 13 == 0, F.transform("evidence", lambda e: F.struct(e["variable"].alias("variable"), F.concat(F.lit("../"), e["csv_path"]).alias("csv_path")))).otherwise(F.col("evidence")),
         "program": F.when(k % 17 == 0, "select max(value) as result from df1").otherwise(F.col("program")),
     })
-    return rerun.verdicts(made, _evidence_of_programs(facts, evidence), ORDER)
+    return rerun.verdicts(tier(made, "records"), tier(_evidence_of_programs(facts, evidence), "evidence-of-programs"), ORDER)
 
 
 @query(f"{_VERDICT} SELECT id, status, executed FROM v")
