@@ -8,10 +8,13 @@
    node can have with any other set (from the sizes that reach the threshold) meets in some trie with the target recall.
    There the node stops: sets of 6 or 7 n-grams stop at longer prefixes than others, those of 3 and fewer match none but themselves.
    The levels in between add no pairs, as a run of a longer prefix lies inside one of a shorter prefix.
-4. Cells: nodes that meet by whole labels are gathered (contracted components of a star of edges for each run) and cut into
-   cells of about BLOCK nodes and GRAMS n-grams at most. Nodes gathered together are compared cell by cell; of other pairs
-   of cells, those nodes that meet one of the other cell at the depth where they stop.
-5. Verification: a pair of cells is a unit, in which shared n-grams are counted by matrix products. No pair becomes a row:
+4. Cells: nodes that meet by the whole labels of two neighbouring tries are gathered (contracted components of a star of
+   edges for each run) and cut into cells of about BLOCK nodes and GRAMS n-grams at most. Nodes gathered together are
+   compared cell by cell; of other pairs of cells, those nodes that meet one of the other cell at the depth where they
+   stop. Two labels are asked for as loosely similar texts (a site's template) else chain together into parts of which all
+   pairs would be compared: of texts alike by a third, one pair in 10^8 meets so, one in 1,400 where prefixes stop.
+5. Verification: a pair of cells is a unit, in which shared n-grams are counted by matrix products. Pairs inside gathered
+   groups never become rows (a node alone that meets another alone is a unit of two rows):
    a unit returns a row per node, with the rows it is linked to and the smallest node of its connected part. Units are
    bounded in nodes and bytes, so hot groups are many units, dealt out over all tasks.
 6. Components over these rows are the classes.
@@ -38,7 +41,7 @@ from pyspark.sql import functions as F
 from .common import discard, doc_text, map_arrow, stored
 from .hashing import mix64, shingles, words_of
 
-N, THRESHOLD, TREES, LABEL, RECALL, BLOCK, GRAMS = 5, 0.8, 32, 8, 0.9999, 256, 1 << 20
+N, THRESHOLD, TREES, LABEL, RECALL, BLOCK, GRAMS = 5, 0.8, 64, 10, 0.999, 256, 1 << 20
 _A = np.random.default_rng(7).integers(0, 2**32, TREES * LABEL, dtype=np.uint32) | np.uint32(1)
 _B = np.random.default_rng(8).integers(0, 2**32, TREES * LABEL, dtype=np.uint32)
 #: A set's size from which on some other size allows almost any similarity.
@@ -83,8 +86,8 @@ def levels(size: int, threshold: float) -> tuple[int, ...]:
 def labels(grams: np.ndarray) -> np.ndarray:
     """The node's label in each trie: the least values of its n-grams under so many hash functions."""
     out, short = np.full(TREES * LABEL, 0xFFFFFFFF, dtype=np.uint32), (grams >> np.uint64(32)).astype(np.uint32)
-    for at in range(0, len(short), 512):
-        out = np.minimum(out, (_A[:, None] * short[None, at : at + 512] + _B[:, None]).min(axis=1))
+    for at in range(0, len(short), 256):
+        out = np.minimum(out, (_A[:, None] * short[None, at : at + 256] + _B[:, None]).min(axis=1))
     return out.reshape(TREES, LABEL)
 
 
@@ -98,6 +101,12 @@ def prefixes(label: np.ndarray, depths: tuple[int, ...]) -> list[np.ndarray]:
     return [at[d - 1] for d in depths]
 
 
+def gathering(label: np.ndarray) -> np.ndarray:
+    """Hashes of the whole labels of two neighbouring tries together, a value for each such two."""
+    whole = prefixes(label, (LABEL,))[0].view(np.uint64)
+    return mix64(whole[::2] * np.uint64(0x9E3779B97F4A7C15) + whole[1::2]).view(np.int64)
+
+
 def gram_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
     hashes, at = words_of(texts)
     return [np.unique(shingles(hashes[a:b], n)) for a, b in zip(at[:-1], at[1:], strict=True)]
@@ -114,17 +123,17 @@ def with_hash(docs: DataFrame) -> DataFrame:
 
 
 def sketches(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, text_hash, node (null without words), size, whole and short (hashes of labels and of prefixes) of every row."""
+    """doc_id, text_hash, node (null without words), size, whole and short (gathering() and hashes of prefixes) of every row."""
 
     def sketch(c: dict) -> dict:
         out: dict[str, list] = {"node": [], "size": [], "whole": [], "short": []}
         for s in gram_sets(c["text"].to_pylist(), n):
             depths = levels(len(s), threshold) if len(s) else ()
-            found = prefixes(labels(s), (LABEL, *depths)) if depths else []
+            label = labels(s) if depths else None
             out["node"].append(node_of(s) if len(s) else None)
             out["size"].append(len(s))
-            out["whole"].append(found[0] if depths else [])
-            out["short"].append(np.concatenate(found[1:]) if depths else [])
+            out["whole"].append(gathering(label) if depths else [])
+            out["short"].append(np.concatenate(prefixes(label, depths)) if depths else [])
         return {"doc_id": c["doc_id"], "text_hash": c["text_hash"], **out, "node": pa.array(out["node"], pa.int64())}
 
     return map_arrow(with_hash(docs), sketch, "doc_id long, text_hash long, node long, size long, whole array<long>, short array<long>")
@@ -258,7 +267,7 @@ def _verified(rows: DataFrame, threshold: float) -> DataFrame:
 
 def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id and n_links (rows, this one aside, whose similarity reaches the threshold) of every row."""
-    return _joined(stored(sketches(docs, n, threshold), "jaccard-sketches"), docs, n, threshold)
+    return _joined(stored(sketches(docs, n, threshold), "jaccard-sketches"), docs, n, threshold).select("doc_id", "class_id", "n_links")
 
 
 def _met(rows: DataFrame, column: str) -> DataFrame:
@@ -295,6 +304,7 @@ def _units(rows: DataFrame, threshold: float) -> DataFrame:
 
 
 def _joined(rows: DataFrame, docs: DataFrame, n: int, threshold: float) -> DataFrame:
+    """doc_id, text_hash, part (the class's smallest node; null without words), class_id and n_links of every row."""
     # Of the rows of a node, the one with the least doc_id (null first) and text hash gives the n-grams.
     nodes = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("rows"), F.min(F.struct("doc_id", "text_hash")).alias("from"))
     nodes = stored(nodes, "jaccard-nodes")
@@ -317,16 +327,26 @@ def _joined(rows: DataFrame, docs: DataFrame, n: int, threshold: float) -> DataF
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     named = nodes.join(classes, "node", "left").withColumn("part", F.coalesce("part", "node"))
     least = named.groupBy("part").agg(F.min("first_doc").alias("class_id"))
-    named = named.join(least, "part").join(links, "node", "left").select("node", "class_id", (F.col("rows") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    return rows.select("doc_id", "node").join(named, "node", "left").select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    named = named.join(least, "part").join(links, "node", "left").select("node", "part", "class_id", (F.col("rows") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    return rows.select("doc_id", "text_hash", "node").join(named, "node", "left").select("doc_id", "text_hash", "part", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, all columns, of the smallest doc_id of each class. Rows that share a doc_id are one document:
-    they go only if none of them leads a class, and of rows repeated whole one stays."""
+    they go only if none of them leads a class, and of rows repeated whole one stays. Rows without doc_id are judged each by
+    its text: they go if their class has a doc_id, and of a class without any the text of the least hash stays."""
     rows = stored(sketches(docs, n, threshold), "jaccard-sketches")
     classes = stored(_joined(rows, docs, n, threshold), "jaccard-classes")
-    gone = classes.groupBy("doc_id").agg(F.max(F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("leads")).filter("not leads").select(F.col("doc_id").alias("__jaccard_doc"))
-    kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("__jaccard_doc"), "left_anti")
+    gone = classes.filter("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("leads")).filter("not leads").select(F.col("doc_id").alias("__jaccard_doc"))
+    unnamed = classes.filter("doc_id is null")
+    if unnamed.isEmpty():
+        kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("__jaccard_doc"), "left_anti")
+    else:
+        texts = unnamed.filter("part is not null").select("part", "class_id", "text_hash").distinct()
+        least = texts.groupBy("part").agg(F.min("text_hash").alias("least"))
+        texts = texts.join(least, "part").filter("class_id is not null or text_hash <> least").select(F.col("text_hash").alias("__jaccard_text"))
+        has_id = F.col("doc_id").cast("long").isNotNull()
+        kept = docs.filter(has_id).join(gone, F.col("doc_id").cast("long") == F.col("__jaccard_doc"), "left_anti")
+        kept = kept.unionByName(docs.filter(~has_id).join(texts, F.xxhash64(F.col("text").cast("string")) == F.col("__jaccard_text"), "left_anti"))
     unique = rows.groupBy("doc_id").count().filter("count > 1").isEmpty()
     return kept if unique else kept.dropDuplicates(["doc_id", "text"])

@@ -131,3 +131,32 @@ def test_chain_of_drifting_versions(spark):
     rows = [(k + 1, " ".join(words[k * 6 : k * 6 + 100])) for k in range(600)]
     got = jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.class_id for r in got} == {1} and all(r.n_links == (1 if r.doc_id in (1, 600) else 2) for r in got)
+
+
+def boilerplate(n, common=100, own=100):
+    shared = [f"site{k}" for k in range(common)]
+    return [(k, " ".join(shared + [f"d{k}w{j}" for j in range(own)])) for k in range(n)]
+
+
+def test_loosely_similar_texts_are_seldom_compared(spark):
+    """Texts of one template, half of whose words are their own, are alike by a third: of 4 times as many, the rows of units
+    stay below a few for each text, and no part gathers them."""
+    counts = []
+    for n in (1000, 4000):
+        docs = spark.createDataFrame(boilerplate(n), "doc_id long, text string")
+        rows = jaccard_join.stored(jaccard_join.sketches(docs), "test-sketches")
+        counts.append(jaccard_join._units(rows, 0.8).count())
+    assert counts[0] < 2_000 and counts[1] < 5 * 4_000
+    got = jaccard_join.join(docs).filter("n_links > 0 or doc_id <> class_id")
+    assert got.isEmpty()
+
+
+def test_keep_one_judges_rows_without_id_by_their_texts(spark):
+    base = [f"w{k}" for k in range(100)]
+    near = " ".join([*base[:-1], "x"])
+    lone, lone_near = " ".join(f"n{k}" for k in range(100)), " ".join([*(f"n{k}" for k in range(99)), "y"])
+    rows = [(1, " ".join(base)), (None, near), (None, near), (None, lone), (None, lone_near), (None, lone_near), (None, "quite another text"), (None, None), (2, "one more"), (2, near)]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, part long")
+    kept = [(r.doc_id, r.text) for r in jaccard_join.keep_one(docs).collect()]
+    assert len(kept) == len(set(kept)) and {(1, rows[0][1]), (2, "one more"), (None, "quite another text"), (None, None)} <= set(kept)
+    assert (None, near) not in kept and sum(t in (lone, lone_near) for _, t in kept) == 1 and len(kept) == 6
