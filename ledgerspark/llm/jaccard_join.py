@@ -8,11 +8,13 @@
    node can have with any other set (from the sizes that reach the threshold) meets in some trie with the target recall.
    There the node stops: sets of 6 or 7 n-grams stop at longer prefixes than others, those of 3 and fewer match none but themselves.
    The levels in between add no pairs, as a run of a longer prefix lies inside one of a shorter prefix.
-4. Cells: nodes that meet by the whole labels of two neighbouring tries are gathered (contracted components of a star of
-   edges for each run) and cut into cells of about BLOCK nodes and GRAMS n-grams at most. Nodes gathered together are
-   compared cell by cell; of other pairs of cells, those nodes that meet one of the other cell at the depth where they
-   stop. Two labels are asked for as loosely similar texts (a site's template) else chain together into parts of which all
-   pairs would be compared: of texts alike by a third, one pair in 10^8 meets so, one in 1,400 where prefixes stop.
+4. Cells: nodes that meet by the whole label of a trie and MORE minima of the next are gathered (contracted components of a
+   star of edges for each run) and cut into cells of about BLOCK nodes and GRAMS n-grams at most. Nodes gathered together
+   are compared cell by cell; of other pairs of cells, those nodes that meet one of the other cell at the depth where they
+   stop. The length decides between two costs: loosely similar texts (a site's template) that meet by short runs chain into
+   one part, of which all pairs are compared; near copies that miss each other by long runs are joined one by one. With
+   MORE minima beyond the stop, a group of similarity s is gathered before its nodes have some 10 / s**MORE such meetings.
+   Runs of over WIDE nodes are gathered too, so that a node has at most TREES * WIDE meetings outside its part.
 5. Verification: a pair of cells is a unit, in which shared n-grams are counted by matrix products. Pairs inside gathered
    groups never become rows (a node alone that meets another alone is a unit of two rows):
    a unit returns a row per node, with the rows it is linked to and the smallest node of its connected part. Units are
@@ -41,7 +43,7 @@ from pyspark.sql import functions as F
 from .common import discard, doc_text, map_arrow, stored
 from .hashing import mix64, shingles, words_of
 
-N, THRESHOLD, TREES, LABEL, RECALL, BLOCK, GRAMS = 5, 0.8, 64, 10, 0.999, 256, 1 << 20
+N, THRESHOLD, TREES, LABEL, RECALL, BLOCK, GRAMS, MORE, WIDE = 5, 0.8, 64, 10, 0.999, 256, 1 << 20, 2, 32
 _A = np.random.default_rng(7).integers(0, 2**32, TREES * LABEL, dtype=np.uint32) | np.uint32(1)
 _B = np.random.default_rng(8).integers(0, 2**32, TREES * LABEL, dtype=np.uint32)
 #: A set's size from which on some other size allows almost any similarity.
@@ -102,9 +104,9 @@ def prefixes(label: np.ndarray, depths: tuple[int, ...]) -> list[np.ndarray]:
 
 
 def gathering(label: np.ndarray) -> np.ndarray:
-    """Hashes of the whole labels of two neighbouring tries together, a value for each such two."""
-    whole = prefixes(label, (LABEL,))[0].view(np.uint64)
-    return mix64(whole[::2] * np.uint64(0x9E3779B97F4A7C15) + whole[1::2]).view(np.int64)
+    """Hashes of every second trie's whole label with MORE minima of the next trie's."""
+    longer, more = (p.view(np.uint64) for p in prefixes(label, (LABEL, MORE)))
+    return mix64(longer[::2] * np.uint64(0x9E3779B97F4A7C15) + more[1::2]).view(np.int64)
 
 
 def gram_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
@@ -282,17 +284,23 @@ def _met(rows: DataFrame, column: str) -> DataFrame:
 def _units(rows: DataFrame, threshold: float) -> DataFrame:
     """Units (as UNIT) with their nodes and whether each is of the unit's second cell: all pairs of cells of one part, and of
     cells of different parts the nodes that meet one of the other cell where they stop, and of a size that one of those can
-    be linked with. A node in no part is its own."""
+    be linked with. A node that is not gathered is a part of its own."""
     star = _met(rows, "whole").filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    parts = stored(components(star), "jaccard-parts")
+    short = _met(rows, "short").select("key", "node", "size").join(parts, "node", "left").select("key", "node", "size", F.coalesce("part", "node").alias("part"))
+    short = stored(short, "jaccard-short", "zstd")
+    wide = short.groupBy("key").agg(F.min("part").alias("hub"), F.max("part").alias("last"), F.count("*").alias("n")).filter((F.col("n") > WIDE) & (F.col("hub") < F.col("last")))
+    into = components(short.join(wide.select("key", "hub"), "key").filter("part <> hub").select(F.col("part").alias("a"), F.col("hub").alias("b")).distinct())
+    into = into.select(F.col("node").alias("part"), F.col("part").alias("into"))
+    parts = short.select("node", "part").unionByName(parts).distinct().join(into, "part", "left").select("node", F.coalesce("into", "part").alias("part"))
     size = rows.filter("node is not null").groupBy("node").agg(F.max("size").alias("size"))
-    parts = stored(components(star).join(size, "node"), "jaccard-parts")
-    of_part = parts.groupBy("part").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / GRAMS)).cast("int").alias("blocks"))
-    placed = parts.join(of_part, "part").select("node", "part", "blocks", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int").alias("block"))
+    parts = stored(parts.join(size, "node"), "jaccard-gathered")
+    of_part = parts.groupBy("part").agg(F.count("*").alias("nodes"), F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / GRAMS)).cast("int").alias("blocks"))
+    placed = parts.join(of_part, "part").select("node", "part", "nodes", "blocks", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int").alias("block"))
     placed = stored(placed, "jaccard-cells")
-    inside = placed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    inside = placed.filter("nodes > 1").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     inside = inside.select("node", F.col("part").alias("part_a"), F.least("block", "other").alias("block_a"), F.col("part").alias("part_b"), F.greatest("block", "other").alias("block_b"), (F.col("block") > F.col("other")).alias("second"))
-    met = _met(rows, "short").select("key", "node", "size").join(placed.select("node", "part", "block"), "node", "left")
-    met = met.select("key", "node", "size", F.coalesce("part", "node").alias("part"), F.coalesce("block", F.lit(0)).alias("block"))
+    met = short.select("key", "node", "size").join(placed.select("node", "part", "block"), "node")
     mixed = met.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("key")
     met = stored(met.join(mixed, "key"), "jaccard-mixed")
     others = met.groupBy("key", F.col("part").alias("p"), F.col("block").alias("k")).agg(F.min("size").alias("least"), F.max("size").alias("most"))
