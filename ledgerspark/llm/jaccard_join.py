@@ -6,14 +6,13 @@
    lie together; a level is kept as a row per node with the prefix's hash, and the joins on it sort by that.
 3. Shortening: a node's prefixes begin with the whole label and lose minima until a pair of the least similarity that this
    node can have with any other set (from the sizes that reach the threshold) meets in some trie with the target recall.
-   There the node stops: sets of 6 or 7 n-grams stop at longer prefixes than others, those of 3 and fewer match none but themselves.
+   There the node stops (at 0.8 it loses MORE minima): sets of 6 or 7 n-grams stop at longer prefixes than others, those of 3 and fewer match none but themselves.
    The levels in between add no pairs, as a run of a longer prefix lies inside one of a shorter prefix.
-4. Cells: nodes that meet by the whole label of a trie and MORE minima of the next are gathered (contracted components of a
-   star of edges for each run) and cut into cells of about BLOCK nodes and GRAMS n-grams at most. Nodes gathered together
+4. Cells: nodes that meet by whole labels are gathered (contracted components of a star of edges for each run) and cut into cells of about BLOCK nodes and GRAMS n-grams at most. Nodes gathered together
    are compared cell by cell; of other pairs of cells, those nodes that meet one of the other cell at the depth where they
    stop. The length decides between two costs: loosely similar texts (a site's template) that meet by short runs chain into
    one part, of which all pairs are compared; near copies that miss each other by long runs are joined one by one. With
-   MORE minima beyond the stop, a group of similarity s is gathered before its nodes have some 10 / s**MORE such meetings.
+   MORE minima (the next trie's, so they cost no hash) beyond the stop, a group of similarity s is gathered before its nodes have some 10 / s**MORE such meetings.
    Runs of over WIDE nodes are gathered too, so that a node has at most TREES * WIDE meetings outside its part.
 5. Verification: a pair of cells is a unit, in which shared n-grams are counted by matrix products. Pairs inside gathered
    groups never become rows (a node alone that meets another alone is a unit of two rows):
@@ -43,9 +42,9 @@ from pyspark.sql import functions as F
 from .common import discard, doc_text, map_arrow, stored
 from .hashing import mix64, shingles, words_of
 
-N, THRESHOLD, TREES, LABEL, RECALL, BLOCK, GRAMS, MORE, WIDE = 5, 0.8, 64, 10, 0.999, 256, 1 << 20, 2, 32
-_A = np.random.default_rng(7).integers(0, 2**32, TREES * LABEL, dtype=np.uint32) | np.uint32(1)
-_B = np.random.default_rng(8).integers(0, 2**32, TREES * LABEL, dtype=np.uint32)
+N, THRESHOLD, TREES, LABEL, RECALL, BLOCK, GRAMS, MORE, WIDE = 5, 0.8, 64, 12, 0.999, 256, 1 << 20, 2, 32
+_A = np.random.default_rng(7).integers(0, 2**32, TREES * (LABEL - MORE), dtype=np.uint32) | np.uint32(1)
+_B = np.random.default_rng(8).integers(0, 2**32, TREES * (LABEL - MORE), dtype=np.uint32)
 #: A set's size from which on some other size allows almost any similarity.
 MANY = 64
 
@@ -86,11 +85,13 @@ def levels(size: int, threshold: float) -> tuple[int, ...]:
 
 
 def labels(grams: np.ndarray) -> np.ndarray:
-    """The node's label in each trie: the least values of its n-grams under so many hash functions."""
-    out, short = np.full(TREES * LABEL, 0xFFFFFFFF, dtype=np.uint32), (grams >> np.uint64(32)).astype(np.uint32)
+    """The node's label in each trie: the least values of its n-grams under so many hash functions, the last MORE of them
+    those of the next trie."""
+    out, short = np.full(len(_A), 0xFFFFFFFF, dtype=np.uint32), (grams >> np.uint64(32)).astype(np.uint32)
     for at in range(0, len(short), 256):
         out = np.minimum(out, (_A[:, None] * short[None, at : at + 256] + _B[:, None]).min(axis=1))
-    return out.reshape(TREES, LABEL)
+    own = out.reshape(TREES, LABEL - MORE)
+    return np.hstack([own, np.roll(own, -1, axis=0)[:, :MORE]])
 
 
 def prefixes(label: np.ndarray, depths: tuple[int, ...]) -> list[np.ndarray]:
@@ -104,9 +105,8 @@ def prefixes(label: np.ndarray, depths: tuple[int, ...]) -> list[np.ndarray]:
 
 
 def gathering(label: np.ndarray) -> np.ndarray:
-    """Hashes of every second trie's whole label with MORE minima of the next trie's."""
-    longer, more = (p.view(np.uint64) for p in prefixes(label, (LABEL, MORE)))
-    return mix64(longer[::2] * np.uint64(0x9E3779B97F4A7C15) + more[1::2]).view(np.int64)
+    """Hashes of every second trie's whole label."""
+    return prefixes(label, (LABEL,))[0][::2]
 
 
 def gram_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
