@@ -84,6 +84,17 @@ def run_metrics(questions: DataFrame) -> DataFrame:
     return questions.agg(F.count("*").alias("n"), share("n_results").alias("coverage"), share("n_tickers").alias("ticker_rate"), share("n_years").alias("year_rate"), F.coalesce(F.round(F.avg("n_facts"), 6), F.lit(0.0)).alias("mean_facts"))
 
 
+def topk_lines(questions: DataFrame, hits: DataFrame, entities: list[str], key: str = "id", text: str = "question", table: str = "table_key", score: str = "score", rank: str = "rank") -> DataFrame:
+    """id, question, entity_json and topk of every question: its entity columns as JSON (empty where null), and its hits as
+    table|score;table|score in the order of their ranks, scores to four places. A question without hits has an empty topk.
+    hits hold at most k rows of a question, so its list is as long as k."""
+    one = F.concat_ws("|", F.col(table).cast("string"), F.format_string("%.4f", F.col(score).cast("double")))
+    lists = hits.groupBy(F.col(key).alias("__id")).agg(F.array_sort(F.collect_list(F.struct(F.col(rank).alias("rank"), one.alias("hit")))).alias("hits"))
+    out = questions.join(lists, F.col(key) == F.col("__id"), "left")
+    topk = F.coalesce(F.array_join(F.col("hits.hit"), ";"), F.lit(""))
+    return out.select(F.col(key).alias("id"), F.col(text).alias("question"), F.to_json(F.struct(*entities)).alias("entity_json"), topk.alias("topk"))
+
+
 def sample_records(records: DataFrame, n: int = 100, key: str = "id") -> DataFrame:
     """At most n records, those with another answer than 0 first, then by a hash of the key, so that a run can be repeated."""
     return records.orderBy(F.coalesce(F.col("answer") == 0, F.lit(True)), F.md5(F.col(key).cast("string")), key).limit(n)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.storage import tier
@@ -53,6 +53,25 @@ def write_evidence(tidy: DataFrame, path: str, by: list[str]) -> None:
     out.withColumn("value", F.format_string("%.6f", "value")).write.mode("overwrite").option("header", True).option("nullValue", "").partitionBy(*by).csv(path)
 
 
+def write_topk(lines: DataFrame, path: str) -> None:
+    """Retrieval lines (id, question, entity_json, topk) as CSV files with a header; quotes are doubled, so JSON and line
+    breaks are read back as they were."""
+    lines.write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+
+
+def read_topk(spark: SparkSession, path: str) -> DataFrame:
+    """What write_topk() wrote, a row for each hit: id, rank (from 1), table_key, score. Questions without hits have none."""
+    raw = spark.read.schema("id long, question string, entity_json string, topk string").option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+    hits = raw.filter("topk <> ''").select("id", F.posexplode(F.split("topk", ";")).alias("at", "hit"))
+    score = F.element_at(F.split("hit", r"\|"), -1)
+    return hits.select("id", (F.col("at") + 1).alias("rank"), F.expr("substr(hit, 1, length(hit) - length(substring_index(hit, '|', -1)) - 1)").alias("table_key"), score.cast("double").alias("score"))
+
+
+def write_metrics(metrics: DataFrame, path: str) -> None:
+    """One row of figures as a JSON file."""
+    metrics.coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
 def split_quarantine(df: DataFrame, error: str = "error") -> tuple[DataFrame, DataFrame]:
     """Rows without and with an error."""
     return df.filter(F.col(error).isNull()).drop(error), df.filter(F.col(error).isNotNull())

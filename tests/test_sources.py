@@ -9,7 +9,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerspark.operators import grid
+from ledgerspark.operators import grid, package
 from ledgerspark.sources import evidence, extraction, readers, sinks
 
 TABLE = "<table><tr><td>x</td><td>{}</td></tr></table>"
@@ -137,3 +137,19 @@ def test_a_killed_task_leaves_no_half_file(spark, tmp_path):
     with pytest.raises(Exception, match="ZeroDivisionError"):
         evidence.write(rows.withColumn("value", die("ord")), folder, ["ord"]).collect()
     assert not glob.glob(f"{folder}/**/*.*", recursive=True)
+
+
+def test_retrieval_lines_are_read_back(spark, tmp_path):
+    questions = spark.createDataFrame([(1, 'say "a", b\nc', ["VCB"], 2020), (2, "", [], None), (3, None, None, None)], "id long, question string, tickers array<string>, year int")
+    hits = spark.createDataFrame([(1, 2, "R1|table_3", 0.5), (1, 1, "R2|17", 1.23456), (3, 1, "R3|table_1", 2.0)], "id long, rank int, table_key string, score double")
+    lines = package.topk_lines(questions, hits, ["tickers", "year"])
+    got = {r.id: r for r in lines.collect()}
+    assert got[1].topk == "R2|17|1.2346;R1|table_3|0.5000" and got[1].entity_json == '{"tickers":["VCB"],"year":2020}'
+    assert got[2].topk == "" and got[2].entity_json == '{"tickers":[]}' and got[3].question is None and got[3].topk == "R3|table_1|2.0000"
+    sinks.write_topk(lines, str(tmp_path / "topk"))
+    back = [tuple(r) for r in sinks.read_topk(spark, str(tmp_path / "topk")).orderBy("id", "rank").collect()]
+    assert back == [(1, 1, "R2|17", 1.2346), (1, 2, "R1|table_3", 0.5), (3, 1, "R3|table_1", 2.0)]
+    assert package.topk_lines(questions.limit(0), hits, ["year"]).count() == 0
+    metrics = package.run_metrics(spark.createDataFrame([(1, 1, 1, 2), (0, 1, 0, 0)], "n_results int, n_tickers int, n_years int, n_facts int"))
+    sinks.write_metrics(metrics, str(tmp_path / "metrics"))
+    assert spark.read.json(str(tmp_path / "metrics")).first().asDict() == {"n": 2, "coverage": 0.5, "ticker_rate": 1.0, "year_rate": 0.5, "mean_facts": 1.0}
