@@ -14,9 +14,9 @@ doc_id and text are read.
 from __future__ import annotations
 
 import os
+import sys
 import zlib
-from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,54 +26,38 @@ from pyspark.sql import functions as F
 
 from .common import doc_text, map_arrow
 
-END, WORDS, PIECES, BATCH_CHARS, SCHEMA = 2, 300_000, 150_000, 1 << 20, "doc_id long, place long, n_tokens long, ids array<int>"
+END, WORDS, PIECES, BATCH_CHARS, SCHEMA = 2, 400_000, 128, 4 << 20, "doc_id long, place long, n_tokens long, ids array<int>"
 #: Bytes of text that a file should have at most, on the average.
 FILE_BYTES = 64 << 20
 ORC = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "2000", "orc.stripe.size": str(8 << 20), "orc.dictionary.key.threshold": "0"}
 #: Added strings of the tokenizer begin with this; texts with it go to the tokenizer whole.
 SPECIAL = "<|"
+#: What begins a text's first unit, and ends its last one if that is a line end.
+EDGE = "\n\n"
+SPACES = "".join(filter(str.isspace, map(chr, range(sys.maxunicode))))
 
 
-def units_of(text: str) -> list[str]:
-    """A text's parts between spaces and before line ends, as keys. A part that begins with a line end stands for itself,
-    one that begins with a space (the text's first, and a line end as its last) for what follows the space, and every
-    other one for itself after a space."""
-    out = text.replace("\n", " \n").split(" ")
-    out[0] = " " + out[0]
-    if out[-1] == "\n":
-        out[-1] = " \n"
-    return out
+def large(text: str) -> pa.Scalar:
+    return pa.scalar(text, pa.large_string())
 
 
-def unit_text(key: str) -> str | None:
-    """What a key stands for; None if the tokenizer could join its white space with that of its neighbours."""
-    if key[:1] == " ":
-        core = key[1:]
-        return core if core in ("", "\n") or not (core[0].isspace() or core[-1].isspace()) else None
-    core = key[1:] if key[:1] == "\n" else key
-    if not core or core[0].isspace() or core[-1].isspace():
-        return None
-    return key if key[0] == "\n" else " " + key
-
-
-class Units(dict):
-    """Numbers of distinct keys, in the order in which they were first seen; `new` has those seen since it was emptied."""
-
-    def __init__(self, known: Iterable[tuple[str, int]] = ()):
-        super().__init__(known)
-        self.new: list[str] = []
-
-    def __missing__(self, key: str) -> int:
-        self[key] = out = len(self)
-        self.new.append(key)
-        return out
+def units_of(texts: pa.LargeStringArray) -> pa.ListArray:
+    """Texts' parts between spaces and before line ends. A part that begins with a line end stands for itself, one that
+    begins with two for what follows them (the text's first) or for one at the text's end (if it is three), and every other
+    one for itself after a space. No part has a space, or a line end elsewhere."""
+    ends = pc.if_else(pc.ends_with(texts, "\n"), large(EDGE), large(""))
+    return pc.split_pattern(pc.binary_join_element_wise(large(EDGE), pc.replace_substring(texts, "\n", " \n"), ends, large("")), " ")
 
 
 class Encoder:
     """Ids of texts. The tokenizer cuts texts into pieces before it merges, and always before a space or a line end that
-    stands between other characters. So a text's units are independent: each distinct one is cut and each distinct piece
-    encoded once while it is remembered, and numpy puts the ids in the units' places. They are those of the whole text.
-    Units and pieces are told apart by their characters."""
+    stands between other characters. So a text's units are independent: Arrow cuts texts and finds the distinct units of a
+    batch, each of these is encoded once while it is remembered, and numpy puts the ids in the units' places. They are those
+    of the whole text. Units are told apart by their characters.
+
+    New units are cut into pieces as one text, and PIECES of these go to the model at a time, with a letter between them
+    that no text has and no token beside its own: nothing merges across it, and its ids are taken out again. A unit begins
+    where a token does that begins with a space or a line end, as it has no other one."""
 
     def __init__(self, path: str):
         import public_tokenizers
@@ -83,100 +67,98 @@ class Encoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenize = self.tokenizer.model.tokenize
+        self.merge = Tokenizer(self.tokenizer.model).encode_batch_fast  # the model alone: no cutting, no added tokens
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         # The letter that stands for each byte, asked of the library: by bytes of whole characters, then by leading bytes.
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters: dict[int, str] = {}
         for c in [*map(chr, range(0x800)), *(chr(k << 12 | 0x800) for k in range(16) if k != 13), "\ud7ff", *(chr(k << 18 | 0x10000) for k in range(4)), "\U00100000"]:
             self.letters.update(zip(c.encode(), level.pre_tokenize_str(c)[0][0], strict=True))
-        self.pieces: dict[str, bytes] = {}
+        vocab = self.tokenizer.get_vocab()
+        used = set().union(*(t for t in vocab if len(t) > 1)) | set(self.letters.values())
+        gap = min(c for c in ByteLevel.alphabet() if c in vocab and c not in used)
+        self.gap = vocab[gap]
+        self.letter_of = np.full(256, ord(gap), dtype="<u4")
+        self.letter_of[list(self.letters)] = [ord(c) for c in self.letters.values()]
+        self.opens = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.opens[[k for t, k in vocab.items() if t[:1] in (self.letters[32], self.letters[10])]] = True
         none = np.zeros(0, dtype=np.int32)
-        self.remember([], none, none, none.astype("<u4"), none)
+        self.remember(pa.array([], pa.large_string()), none, none, none.astype("<u4"), none)
 
-    def remember(self, keys: list[str], at: np.ndarray, size: np.ndarray, pool: np.ndarray, uses: np.ndarray) -> None:
+    def remember(self, units: pa.LargeStringArray, at: np.ndarray, size: np.ndarray, pool: np.ndarray, uses: np.ndarray) -> None:
         """Remembered units: each one's place in the pool of ids, number of ids (-1: its texts are encoded whole) and uses."""
-        self.units = Units(zip(keys, range(len(keys)), strict=True))
-        self.at, self.size, self.pool, self.uses = at, size, pool, uses
+        self.units, self.at, self.size, self.pool, self.uses = units, at, size, pool, uses
 
     def forget(self) -> None:
         """Keeps the half of the units that were used most."""
-        keys = list(self.units)
         keep = np.sort(np.argsort(-self.uses, kind="stable")[: WORDS // 2])
         n = np.maximum(self.size[keep], 0)
         at = (np.cumsum(n) - n).astype(np.int32)
         pool = self.pool[np.repeat(self.at[keep] - at, n) + np.arange(n.sum())]
-        self.remember([keys[k] for k in keep.tolist()], at, self.size[keep], pool, self.uses[keep] // 2)
+        self.remember(self.units.take(pa.array(keep)), at, self.size[keep], pool, self.uses[keep] // 2)
 
     def whole(self, text: str) -> np.ndarray:
         """The ids of a text by the whole tokenizer."""
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
-    def _merged(self, piece: str) -> bytes:
-        """The ids of a piece, as little-endian unsigned 32-bit integers."""
-        letters = piece.encode().decode("latin-1").translate(self.letters)
-        return array("I", [t.id for t in self.tokenize(letters)]).tobytes()
-
-    def _ids(self, unit: str) -> bytes:
-        core = unit.rstrip(".,")
-        if core[core[:1] == " " :].isalpha():
-            cut = (core, unit[len(core) :]) if len(core) < len(unit) else (core,)
-        else:
-            cut = self.pattern.findall(unit)
-        out = b""
-        for piece in cut:
-            ids = self.pieces.get(piece)
-            if ids is None:
-                self.pieces[piece] = ids = self._merged(piece)
-            out += ids
-        return out
-
-    def _learn(self) -> None:
-        """Appends the new units' ids to the pool."""
-        if not self.units.new:
-            return
-        if len(self.pieces) > PIECES:
-            self.pieces = {}
-        texts = list(map(unit_text, self.units.new))
-        self.units.new = []
-        ids = [b"" if u is None else self._ids(u) for u in texts]
-        size = np.fromiter(map(len, ids), dtype=np.int32, count=len(ids)) // 4
-        self.at = np.concatenate([self.at, (len(self.pool) + np.cumsum(size) - size).astype(np.int32)])
-        size[[u is None for u in texts]] = -1
-        self.size = np.concatenate([self.size, size])
-        self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(ids), dtype="<u4")])
-
-    def encode(self, texts: list[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def _merged(self, pieces: list[str]) -> np.ndarray:
+        """The ids of pieces, one after the other."""
+        out = [np.zeros(0, dtype="<u4")]
+        for k in range(0, len(pieces), PIECES):  # the library's results are large, so they are not kept for more pieces
+            letters = self.letter_of[np.frombuffer(b"\xff".join(map(str.encode, pieces[k : k + PIECES])), dtype=np.uint8)]
+            out.append(np.array(self.merge([letters.tobytes().decode("utf-32-le")], add_special_tokens=False)[0].ids, dtype="<u4"))
+        ids = np.concatenate(out)
+        return ids[ids != self.gap]
+
+    def _learn(self, new: pa.LargeStringArray) -> None:
+        """Remembers more units. Those whose white space the tokenizer could join with their neighbours' have no ids."""
+        core = pc.utf8_ltrim(new, "\n")
+        empty, end = pc.equal(new, large(EDGE)), pc.equal(new, large(EDGE + "\n"))
+        inner = pc.and_(pc.not_equal(core, large("")), pc.equal(core, pc.utf8_trim(core, SPACES)))
+        has = pc.or_(inner, end)
+        texts = pc.binary_join_element_wise(pc.if_else(pc.starts_with(new, "\n"), large("\n"), large(" ")), core, large("")).filter(has)
+        ids = self._merged(self.pattern.findall("".join(texts.to_numpy(zero_copy_only=False))))
+        starts = np.flatnonzero(self.opens[ids])
+        # A text's first unit was encoded after a line end, whose id is left out.
+        after = pc.and_not(pc.starts_with(new, EDGE), end).filter(has).to_numpy(zero_copy_only=False).astype(np.int32)
+        has = has.to_numpy(zero_copy_only=False)
+        at, size = np.zeros(len(new), dtype=np.int32), np.full(len(new), -1, dtype=np.int32)
+        at[has] = len(self.pool) + starts + after
+        size[has] = np.diff(starts, append=len(ids)) - after
+        size[empty.to_numpy(zero_copy_only=False)] = 0
+        uses = np.pad(self.uses, (0, len(new)))
+        self.remember(pa.concat_arrays([self.units, new]), np.concatenate([self.at, at]), np.concatenate([self.size, size]), np.concatenate([self.pool, ids]), uses)
+
+    def encode(self, texts: pa.Array | list[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by `end` if there is one, and how many each text has."""
         if len(self.units) > WORDS:
             self.forget()
-        whole: dict[int, np.ndarray] = {}
-        units: list[str] = []
-        count = np.zeros(len(texts), dtype=np.int64)
-        for k, t in enumerate(texts):
-            if not t:
-                continue
-            if SPECIAL in t:
-                whole[k] = self.whole(t)
-                continue
-            some = units_of(t)
-            units += some
-            count[k] = len(some)
-        number = np.fromiter(map(self.units.__getitem__, units), dtype=np.int32, count=len(units))
-        self._learn()
-        at, size = self.at, self.size
-        self.uses = np.bincount(number, minlength=len(size)) + np.pad(self.uses, (0, len(size) - len(self.uses)))
-        odd = np.flatnonzero(size[number] < 0)
-        for k in np.unique(np.searchsorted(np.cumsum(count), odd, side="right")).tolist():
-            whole[k] = self.whole(texts[k])
-        n = np.maximum(size[number], 0)
-        done = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
-        out = self.pool[np.repeat(at[number] - done[:-1], n) + np.arange(done[-1])]
-        of_text = done[np.concatenate([[0], np.cumsum(count)])]
+        texts = texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        special = pc.fill_null(pc.match_substring(texts, SPECIAL), False).to_numpy(zero_copy_only=False)
+        cut = np.flatnonzero((pc.fill_null(pc.binary_length(texts), 0).to_numpy() > 0) & ~special)
+        units = units_of(texts.take(pa.array(cut)))
+        distinct = units.values.dictionary_encode()
+        found = pc.index_in(distinct.dictionary, self.units)
+        new = distinct.dictionary.filter(found.is_null())
+        known = pc.fill_null(found, -1).to_numpy().copy()
+        known[known < 0] = len(self.units) + np.arange(len(new))
+        if len(new):
+            self._learn(new)
+        number = known[distinct.indices.to_numpy()]
+        self.uses = self.uses + np.bincount(number, minlength=len(self.uses))
+        size, bounds = self.size[number], units.offsets.to_numpy()
+        odd = np.searchsorted(bounds[1:], np.flatnonzero(size < 0), side="right")
+        size = np.maximum(size, 0)
+        done = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+        out = self.pool[np.repeat((self.at[number] - done[:-1]).astype(np.int32), size) + np.arange(done[-1], dtype=np.int32)]
+        ids = [np.zeros(0, dtype="<u4")] * len(texts)
+        for k, a, b in zip(cut.tolist(), done[bounds[:-1]].tolist(), done[bounds[1:]].tolist(), strict=True):
+            ids[k] = out[a:b]
+        for k in [*np.flatnonzero(special).tolist(), *cut[np.unique(odd)].tolist()]:
+            ids[k] = self.whole(texts[k].as_py())
         last = np.array([] if end is None else [end], dtype="<u4")
-        parts = [x for k in range(len(texts)) for x in (whole.get(k, out[of_text[k] : of_text[k + 1]]), last)]
-        sizes = np.array([len(whole[k]) if k in whole else of_text[k + 1] - of_text[k] for k in range(len(texts))], dtype=np.int64)
-        return np.concatenate([np.zeros(0, dtype="<u4"), *parts]), sizes + len(last)
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) + len(last)
+        return np.concatenate([np.zeros(0, dtype="<u4"), *(x for part in ids for x in (part, last))]), sizes
 
 
 _encoders: dict[str, Encoder] = {}
@@ -201,7 +183,7 @@ def with_ids(docs: DataFrame, path: str, end: int | None = END) -> DataFrame:
                 if size < BATCH_CHARS and k < batch.num_rows - 1:
                     continue
                 part = batch.slice(first, k + 1 - first)
-                flat, n = encoder(path).encode(part.column("text").to_pylist(), end)
+                flat, n = encoder(path).encode(part.column("text"), end)
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(flat.view(np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.arange(len(n)) + place), pa.array(n), ids], names=["doc_id", "place", "n_tokens", "ids"])
                 place, first, size = place + len(n), k + 1, 0

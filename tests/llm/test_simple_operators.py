@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import random
 import re
+import sys
 import zlib
 
 import numpy as np
@@ -149,6 +151,42 @@ def test_token_ids_of_odd_texts_while_units_are_forgotten(monkeypatch):
         assert n.tolist() == [len(w) for w in want] and flat.tolist() == [i for w in want for i in w]
 
 
+def test_token_ids_of_new_units_are_not_asked_one_by_one():
+    """Most units of a corpus are rare, so what a new one costs decides: half a call from Python at most (before: 17)."""
+    from tokenizers import Tokenizer
+
+    path, r = vocabulary(ID_VOCABULARY), random.Random(3)
+    t, e = Tokenizer.from_file(path), token_files.Encoder(path)
+    parts, some = ["the", "ing", "ß", "é", "keit", "ou", "n", "."], {}
+    while len(some) < 20_000:
+        some["".join(r.choice(parts) for _ in range(r.randrange(4, 9)))] = 1
+    texts, calls = [" ".join(list(some)[k : k + 100]) for k in range(0, len(some), 100)], [0]
+
+    def count(frame, event, what):
+        calls[0] += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        flat, n = e.encode(texts, 2)
+    finally:
+        sys.setprofile(None)
+    want = [[*x.ids, 2] for x in t.encode_batch(texts, add_special_tokens=False)]
+    assert n.tolist() == [len(w) for w in want] and flat.tolist() == [i for w in want for i in w]
+    assert calls[0] < len(some) // 2
+
+
+def test_token_ids_of_all_short_texts_of_spaces_and_line_ends():
+    from tokenizers import Tokenizer
+
+    path = vocabulary(ID_VOCABULARY)
+    t, e = Tokenizer.from_file(path), token_files.Encoder(path)
+    texts = ["".join(x) for k in range(6) for x in itertools.product("a. \n", repeat=k)]
+    for some in (texts, texts[::-1], [None, *texts[7::11]]):
+        want = [[*t.encode(x or "", add_special_tokens=False).ids, 2] for x in some]
+        flat, n = e.encode(some, 2)
+        assert n.tolist() == [len(w) for w in want] and flat.tolist() == [i for w in want for i in w]
+
+
 def test_offsets_beyond_100_000_files(spark):
     """Part numbers of six digits sort before those of five as text; the index must not follow them."""
     out, first = new_path(spark, "test-tokens"), [(99_999, 10), (100_000, 20)]
