@@ -50,6 +50,11 @@ def test_periods(spark):
     assert values(spark, ["31/12/2020", "Số đầu năm", "Trong năm", "31/1/2020"], periods.period_year("c", F.lit(2019))) == [2020, None, 2019, 2020]
 
 
+def test_a_ticker_is_no_year(spark):
+    ids = ["C2007_financial_statements_1998_separate_1", "C1992_financial_statements_x", "2018VND", "a\nFY2019", "C2007"]
+    assert values(spark, ids, text.first_year("c")) == [1998, 0, 2018, 2019, 2007]
+
+
 def test_names(spark):
     ids = ["AAA_financial_statements_2015_consolidated", "AAA_financial_statements_2015_separate", "X_aggregated", "XYZ_note_01", "HDB_financial_statements_2022_separate_1"]
     assert values(spark, ids, text.report_type("c")) == ["consolidated", "separate", "aggregated", "other", "separate"]
