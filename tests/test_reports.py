@@ -93,3 +93,9 @@ def test_merging(spark):
 def test_cross_foot(spark):
     df = spark.createDataFrame([("R", "balance_sheet", 1, "270", "year_end", 10.0), ("R", "balance_sheet", 2, "440", "year_end", 12.5), ("R", "balance_sheet", 3, "270", "year_start", 1.0)], "report_id string, statement string, ord long, item_code string, period_key string, value double")
     assert [tuple(r) for r in facts.cross_foot(df).collect()] == [("R", "year_end", 10.0, 12.5)]
+
+
+def test_a_ticker_is_no_period(spark):
+    rows = [("C1992_financial_statements_2018_separate_7", "income", 1, "10", "Lãi", "flow_year", "2018 VND", 5.0, 2), ("C1992_financial_statements_2018_separate_7", "income", 2, "10", "Lãi", "flow_year", "2017 VND", 4.0, 2)]
+    df = spark.createDataFrame(rows, "report_id string, statement string, ord long, item_code string, item_label string, period_key string, period_label string, value double, table_no int")
+    assert sorted((r.period, r.value) for r in facts.merge_statements(df).collect()) == [(2017, 4.0), (2018, 5.0)]
