@@ -99,3 +99,22 @@ def test_a_ticker_is_no_period(spark):
     rows = [("C1992_financial_statements_2018_separate_7", "income", 1, "10", "Lãi", "flow_year", "2018 VND", 5.0, 2), ("C1992_financial_statements_2018_separate_7", "income", 2, "10", "Lãi", "flow_year", "2017 VND", 4.0, 2)]
     df = spark.createDataFrame(rows, "report_id string, statement string, ord long, item_code string, item_label string, period_key string, period_label string, value double, table_no int")
     assert sorted((r.period, r.value) for r in facts.merge_statements(df).collect()) == [(2017, 4.0), (2018, 5.0)]
+
+
+def test_bare_tables_are_cut_as_the_parser_would():
+    from unittest import mock
+
+    tables = [html(INCOME), html([["a &amp; b", " x "], []]), '<table><tr><td colspan="3">T</td></tr><tr><td>1</td></tr></table>', '<table><tr><td colspan="0">T</td></tr></table>', '<table><tr><td colspan="5000">T</td></tr></table>']
+    other = ['<table><tr><td rowspan="2">a</td><td>b</td></tr><tr><td>c</td></tr></table>', "<table><tr><td>a<br>b</td></tr></table>", "<table><tr><td>a<3</td></tr></table>", "<table>\n<tr><td>a</td></tr></table>", "<table></table>"]
+    with mock.patch.object(grid, "_rows", side_effect=AssertionError):
+        got = [grid.parse_grid(t) for t in tables]
+    assert all(grid._bare(t) is None for t in other)
+    with mock.patch.object(grid, "_bare", return_value=None):
+        assert got == [grid.parse_grid(t) for t in tables]
+
+
+def test_tests_stop_at_the_first_hit(spark):
+    from ledgerspark.functions.text import first_index
+
+    found = spark.sql("select array('a', 'b', '0', 'b') as c, cast(array() as array<string>) as e").select(first_index(F.col("c"), lambda x: x == "b").alias("b"), first_index(F.col("c"), lambda x: F.when(x == "0", F.raise_error(F.lit("tested"))).otherwise(x == "b")).alias("s"), first_index(F.col("e"), lambda x: x == "b").alias("n")).first()
+    assert found[:] == (1, 1, None)
