@@ -118,3 +118,15 @@ def test_tests_stop_at_the_first_hit(spark):
 
     found = spark.sql("select array('a', 'b', '0', 'b') as c, cast(array() as array<string>) as e").select(first_index(F.col("c"), lambda x: x == "b").alias("b"), first_index(F.col("c"), lambda x: F.when(x == "0", F.raise_error(F.lit("tested"))).otherwise(x == "b")).alias("s"), first_index(F.col("e"), lambda x: x == "b").alias("n")).first()
     assert found[:] == (1, 1, None)
+
+
+def test_facts_are_shuffled_once(spark):
+    tables = classified(spark, [("BÁO CÁO KẾT QUẢ HOẠT ĐỘNG KINH DOANH", INCOME)])
+    plan = facts.facts(tables)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_periods_of_a_table_are_read_once(spark):
+    plan = facts.tidy(classified(spark, [("", INCOME)]))._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Generate posexplode", 1)
+    assert "dau ky" in below and "dau ky" not in above
