@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.storage import shuffled
 from .solve import evidence_source
 
 _STRING = r"'((?:[^'\\]|''|\\.)*)'"
@@ -34,8 +35,8 @@ def execute(lookups: DataFrame, evidence: DataFrame, order: list[str]) -> DataFr
     once = lookups.select(*keys, "code", "label").distinct()
     rows = evidence.select(*keys, "item", F.coalesce("code", F.lit("")).alias("has"), F.struct(F.struct(*order).alias("o"), "value").alias("r"))
     # By label where one is given, else by code: either way a join on the whole of what is asked.
-    by_label = once.filter("label is not null").join(rows.withColumnRenamed("item", "label"), [*keys, "label"]).filter(F.col("code").isNull() | (F.col("code") == F.col("has")))
-    by_code = once.filter("label is null").join(rows.withColumn("code", F.col("has")), [*keys, "code"])
+    by_label = once.filter("label is not null").join(shuffled(rows.withColumnRenamed("item", "label")), [*keys, "label"]).filter(F.col("code").isNull() | (F.col("code") == F.col("has")))
+    by_code = once.filter("label is null").join(shuffled(rows.withColumn("code", F.col("has"))), [*keys, "code"])
     found = by_label.select(*keys, "code", "label", "r").unionByName(by_code.select(*keys, "code", "label", "r"))
     return found.groupBy(*keys, "code", "label").agg(F.min_by("r.value", "r.o").alias("value"))
 
@@ -49,7 +50,7 @@ def verdicts(records: DataFrame, evidence: DataFrame, order: list[str], toleranc
     all_ = records.select("id", F.coalesce(F.col("answer"), F.lit(0.0)).alias("answer"), F.trim(F.coalesce("program", F.lit(""))).alias("program"), F.coalesce(entries, F.array().cast("array<struct<variable:string,csv_path:string,source:struct<report_id:string,item:string>>>")).alias("entries"))
     paths = all_.select("id", F.explode("entries").alias("e")).select("id", "e.csv_path", F.col("e.source.report_id").alias("report_id"), F.col("e.source.item").alias("name"))
     known = evidence.select("report_id", "name").distinct().withColumn("known", F.lit(True))
-    wrong = paths.join(known, ["report_id", "name"], "left").filter(F.col("known").isNull() | ~F.col("csv_path").startswith("data/"))
+    wrong = paths.join(shuffled(known), ["report_id", "name"], "left").filter(F.col("known").isNull() | ~F.col("csv_path").startswith("data/"))
     wrong = wrong.groupBy("id").agg(F.min("csv_path").alias("bad_path"))
     parsed = all_.withColumn("l", F.when(F.col("program") != "", lookup("program")))
     source = F.get(F.filter("entries", lambda e: e["variable"] == F.col("l.variable")), F.lit(0))["source"]
@@ -59,7 +60,7 @@ def verdicts(records: DataFrame, evidence: DataFrame, order: list[str], toleranc
     condition = same[0]
     for c in same[1:]:
         condition = condition & c
-    ran = asked.join(values, condition, "left").select("id", "answer", "program", "n", "is_lookup", "has_table", "unit", values["value"]).join(wrong, "id", "left")
+    ran = asked.join(shuffled(values), condition, "left").select("id", "answer", "program", "n", "is_lookup", "has_table", "unit", values["value"]).join(shuffled(wrong), "id", "left")
     executed = F.when(F.col("bad_path").isNull(), F.when(F.col("program") == "", 0.0).when(F.col("is_lookup") & F.col("has_table"), F.coalesce(F.round(F.col("value") / F.col("unit"), 2), F.lit(0.0))))
     status = F.when(F.col("bad_path").isNotNull(), "bad_path").when(F.col("executed").isNull(), "crash").when(F.abs(F.col("executed") - F.col("answer")) <= tolerance, "ok").otherwise("mismatch")
     error = F.when(F.col("status") == "bad_path", F.concat(F.lit("no table: "), F.coalesce("bad_path", F.lit("")))).when(F.col("status") == "crash", F.when(F.col("is_lookup"), "variable without evidence").otherwise("no lookup")).when(F.col("status") == "mismatch", F.concat(F.lit("ran to "), F.col("executed").cast("string")))

@@ -177,3 +177,22 @@ def test_sinks(spark, tmp_path):
     tidy = spark.createDataFrame([("R", "a", "1", 2020, 1.5)], "report_id string, item string, code string, period int, value double")
     sinks.write_evidence(tidy, f"{tmp_path}/e", ["report_id"])
     assert spark.read.option("header", True).csv(f"{tmp_path}/e").first().value == "1.500000"
+
+
+def test_what_grows_is_not_broadcast_by_the_size_of_its_files(spark):
+    from ledgerspark.operators import entities, rerun, solve
+    from ledgerspark.operators.retrieval import small
+    from ledgerspark.plans.storage import tier
+
+    plan_of = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    stocks = tier(spark.createDataFrame([("AAA", "Holding AAA")], "ticker string, company_name string"), "test")
+    asked = tier(spark.createDataFrame([(1, "Doanh thu của AAA năm 2020")], "id int, question string"), "test")
+    assert "Broadcast" not in plan_of(entities.entities(asked, stocks))
+    assert "Broadcast" not in plan_of(small(asked, 0).join(stocks, F.col("id").cast("string") == F.col("ticker")))
+    results = tier(spark.createDataFrame([(1, "R", 1)], "id int, report_id string, rank int"), "test")
+    plan = tier(spark.createDataFrame([(1, "df1", 1, "R", "stmt", "income", [1])], "id int, variable string, var_no int, report_id string, kind string, name string, fragments array<int>"), "test")
+    solved = tier(spark.createDataFrame([(1, 1.0, "x", "facts")], "id int, answer double, program string, tier string"), "test")
+    made = solve.records(asked, results, plan, solved)
+    assert "Broadcast" not in plan_of(made) and "Broadcast" not in plan_of(solve.missing_statements(asked.withColumn("statement", F.lit("income")), plan))
+    evidence = tier(spark.createDataFrame([("R", "income", "a", "", 2020, 1.0, 1)], "report_id string, name string, item string, code string, period int, value double, o int"), "test")
+    assert "Broadcast" not in plan_of(rerun.verdicts(tier(made, "test"), evidence, ["o"]))
