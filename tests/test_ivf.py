@@ -68,3 +68,20 @@ def test_empty_tables(spark, tmp_path):
     index = ivf.build(v, "vec_id", "embedding", 4, str(tmp_path / "v"))
     assert ivf.search(index, asked.limit(0), 3, 2).count() == 0
     assert sorted((r.qid, r.vec_id) for r in ivf.search(index, asked, 3, 2).collect()) == [(1, 1), (1, 2), (2, 1), (2, 2)]
+
+
+@pytest.mark.parametrize("rows", [3, 10_000])
+def test_products_of_matrices_give_each_pair_its_cosine(spark, monkeypatch, rows):
+    monkeypatch.setattr(retrieval, "BROADCAST_ROWS", rows)
+    rng = np.random.default_rng(5)
+    made = [(k, [round(float(rng.normal()), 1) for _ in range(4)]) for k in range(60)] + [(70, None), (71, [1.0, None, 2.0, 0.0]), (72, [1.0, 2.0]), (73, []), (74, [1.0, 0.0, 0.0, 0.0]), (75, [2.0, 0.0, 0.0, 0.0])]
+    vectors = spark.createDataFrame(made, "vec_id long, embedding array<float>").repartition(3)
+    queries = vectors.filter("vec_id % 7 = 0 or vec_id in (72, 74)").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
+    pairs = vectors.filter("vec_id <> 73").join(queries).select("qid", "vec_id", F.round(retrieval.cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
+    want = sorted(map(repr, retrieval.top_k(pairs, 5, "qid", "vec_id").collect()))
+    got = retrieval.dense_search(vectors.filter("vec_id <> 73"), queries, 5)
+    assert sorted(map(repr, got.collect())) == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    near = retrieval.near(vectors, queries, lambda c: c >= 0.9 - 2e-6).filter("score >= 0.9")
+    assert sorted(map(repr, near.select("qid", "vec_id", "score").collect())) == sorted(map(repr, pairs.filter("score >= 0.9").collect()))
